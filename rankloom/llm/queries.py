@@ -6,12 +6,6 @@ from importlib import import_module
 
 NAMES = {
     "op1_simhash": "simhash",
-    "op2_embedding_lsh": "embeddings",
-    "op3_mix_sources": "mixing",
-    "op4_language_id": "langid",
-    "op5_lm_score": "lm",
-    "op6_pack": "packing",
-    "op7_token_tables": "sstable",
     "op8_pii": "pii",
     "op9_html_text": "html",
     "op10_quality": "quality",
