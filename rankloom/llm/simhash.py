@@ -144,12 +144,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
     Among repeated rows of that identifier one stays; rows whose group has no identifier at all keep one per
     fingerprint."""
-    fp = "__fp"
-    marked = with_fingerprint(docs, text, shingle, name=fp)
     rows = cut(with_fingerprint(docs.select(id_col, text), text, shingle, name="fp").select(id_col, "fp"))
-    keep = cut(near_components(rows, id_col, radius).withColumnRenamed("fp", fp))
-    out = marked.join(keep, fp).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return out.dropDuplicates([id_col, fp]).select(*docs.columns) if _repeats(rows, id_col) else out.select(*docs.columns)
+    least = near_components(rows, id_col, radius)
+    if not _repeats(rows, id_col):  # the identifier names the row
+        keep = rows.join(least, "fp").where(F.col(id_col) == F.col("component_id")).select(id_col)
+        return docs.join(cut(keep), id_col, "left_semi").select(*docs.columns)
+    marked = with_fingerprint(docs, text, shingle, name="__fp")
+    keep = cut(least.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component")))
+    out = marked.join(keep, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component")))
+    return out.dropDuplicates([id_col, "__fp"]).select(*docs.columns)
 
 
 def _repeats(rows: DataFrame, id_col: str) -> bool:
