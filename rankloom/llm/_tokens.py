@@ -10,7 +10,7 @@ from itertools import repeat
 import regex
 
 #: Pieces that a worker remembers; then it starts afresh.
-CACHED = 400_000
+CACHED = 700_000
 #: Longer pieces aren't remembered.
 LONGEST = 64
 
@@ -44,8 +44,10 @@ def word_pieces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-class Ids:
-    """Ids of texts as little-endian unsigned 32-bit integers, equal to those of encoding each whole text."""
+class Ids(dict):
+    """Ids of texts as little-endian unsigned 32-bit integers, equal to those of encoding each whole text.
+
+    As a dictionary it remembers the ids of pieces that it has met."""
 
     _known: dict[tuple, Ids] = {}
 
@@ -55,10 +57,11 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.cache, self.parts = pieces, {}, {}
+        self.pieces = pieces
         self.lower = pieces is word_pieces
         self.split = (WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.model = self.tokenizer.model.tokenize
+        self[""] = b""
 
     @classmethod
     def of(cls, path: str, pieces) -> Ids:
@@ -69,45 +72,33 @@ class Ids:
         return cls._known[key]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self.pieces, texts))
-        cache = self.cache
-        new = set().union(*cut) - cache.keys()
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-            new = set().union(*cut)
-        new.discard("")
-        own: dict[str, bytes] = {"": b""}
-        for w in new:
-            own[w] = self._piece(w) if _PLAIN.fullmatch(w) else array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        if len(own) <= CACHED:
-            cache.update((w, x) for w, x in own.items() if len(w) <= LONGEST)
-        look = _Two(cache, own).__getitem__
-        return [b"".join(map(look, c)) for c in cut]
-
+        look = self.__getitem__
+        return [b"".join(map(look, self.pieces(t))) for t in texts]
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self._piece(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHED:
+                self.clear()
+                self[""] = b""
+            self[piece] = found
+        return found
 
     def _piece(self, piece: str) -> bytes:
-        """Pre-tokenised here; byte-pair encoding is the library's."""
-        out = []
-        for part in self.split(piece.lower() if self.lower else piece):
-            known = self.parts.get(part)
-            if known is None:
-                shown = part.encode().decode("latin-1").translate(_BYTES)
-                known = array("I", [t.id for t in self.model(shown)]).tobytes()
-                if len(self.parts) >= CACHED:
-                    self.parts.clear()
-                if len(part) <= LONGEST:
-                    self.parts[part] = known
-            out.append(known)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-
-class _Two(dict):
-    """The cache, and what isn't kept in it."""
-
-    def __init__(self, cache: dict, own: dict):
-        super().__init__()
-        self.get_cached, self.own = cache.get, own
-
-    def __getitem__(self, key):
-        found = self.get_cached(key)
-        return self.own[key] if found is None else found
+        """Pre-tokenised here where that is certain to agree; byte-pair encoding is always the library's."""
+        if not (piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece)):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            return self._part(piece)
+        if word[:-1].isalpha() and word[-1] in ",.;:!?":
+            return self[piece[:-1]] + self[word[-1]]
+        if self.lower:
+            piece = piece.lower()
+        return b"".join([self._part(x) if x == piece else self[x] for x in self.split(piece)])
+
+    def _part(self, part: str) -> bytes:
+        if self.lower:
+            part = part.lower()
+        shown = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model(shown)]).tobytes()

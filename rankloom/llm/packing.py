@@ -188,7 +188,7 @@ def packed(cut_pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY,
     """The rows of pieces() with sequence_id and offset.
 
     The pieces of one length are numbered within (length, salt), so that a common length takes many tasks."""
-    own = cut(cut_pieces.drop("sequence_id", "offset"))
+    own = cut(cut_pieces.drop("sequence_id", "offset", "__k", "__salt", "__base"))
     counts = own.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.collect()}  # at most `capacity` rows
     plan = Plan.of(solve(histogram, capacity, **how), capacity)

@@ -13,7 +13,7 @@ def brute(ids, vectors, threshold=0.95):
     for i in range(len(ids)):
         for j in range(i):
             if ok[i] and ok[j] and len(vectors[i]) == len(vectors[j]):
-                a, b = np.array(vectors[i], float), np.array(vectors[j], float)
+                a, b = (np.array(v, float) / max(map(abs, v)) for v in (vectors[i], vectors[j]))
                 if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= threshold:
                     links[i].add(j)
                     links[j].add(i)
