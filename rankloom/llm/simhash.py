@@ -90,12 +90,11 @@ def _probes(s: int, at: int, width: int, radius: int):
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """edges(a, b) between the fingerprints of fps(fp), whose components are those of all pairs within radius.
+    """edges(a, b) between the distinct fingerprints fps(fp), whose components are those of all pairs within radius.
 
     First, neighbours in the order of rotated fingerprints are linked where they are near; that joins large groups of
     near copies by as many links as they have members. Then multi-index hashing looks for pairs that are not yet in
     one component. So a group of k near copies adds about k rows instead of k * k."""
-    fps = cut(fps.select("fp").distinct())
     near = _neighbours(fps, radius)
     known = components(near).select(F.col("node").alias("fp"), F.col("root").alias("c"))
     own = cut(fps.join(known, "fp", "left").select("fp", F.coalesce("c", "fp").alias("c")))
@@ -112,22 +111,20 @@ def _neighbours(fps: DataFrame, radius: int, rotations=(0, 16, 32, 48), ahead: i
     """Verified links between fingerprints that follow each other in the order of their rotated bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros(0, np.int64)
+        last, last_turn = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for b in batches:
             x = np.concatenate([last, b.column(0).to_numpy(zero_copy_only=False)])
+            turn = np.concatenate([last_turn, b.column(1).to_numpy(zero_copy_only=False)])
             for step in range(1, ahead + 1):
                 if len(x) > step:
                     p, q = x[:-step], x[step:]
-                    near = np.bitwise_count((p ^ q).view(np.uint64)) <= radius
+                    near = (np.bitwise_count((p ^ q).view(np.uint64)) <= radius) & (turn[:-step] == turn[step:])
                     yield pa.RecordBatch.from_arrays([pa.array(p[near]), pa.array(q[near])], ["a", "b"])
-            last = x[-ahead:]
-
-    out = None
-    for r in rotations:
-        turned = F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", BITS - r)) if r else F.col("fp")
-        one = fps.select("fp", turned.alias("o")).repartitionByRange("o").sortWithinPartitions("o").select("fp").mapInArrow(run, "a long, b long")
-        out = one if out is None else out.unionByName(one)
-    return out.where("a <> b")
+            last, last_turn = x[-ahead:], turn[-ahead:]
+
+    turns = F.array(*[F.struct(F.lit(r).alias("turn"), (F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", BITS - r)) if r else F.col("fp")).alias("o")) for r in rotations])
+    rows = fps.select("fp", F.inline(turns))
+    return rows.repartitionByRange("turn", "o").sortWithinPartitions("turn", "o").select("fp", "turn").mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def near_components(rows: DataFrame, id_col: str = "doc_id", radius: int = 4) -> DataFrame:
