@@ -31,7 +31,7 @@ RATIOS = {
     "word_length": ("word_chars", "n_words", 12.0, 3.0),
     "symbols_per_word": ("n_symbols", "n_words", 0.3, None),
     "dup_lines_per_word": ("n_dup_lines", "n_words", 0.1, None),
-    "repeat_share": ("n_repeat_words", "n_words", 0.2, None),
+    "repeat_share": ("n_repeat_words", "n_words", 0.35, None),
 }
 #: Relative width of a sketch's bucket; ratios under LEAST share the lowest.
 GAMMA, LEAST = 1.05, 1e-4
