@@ -183,7 +183,7 @@ _QUERIES = {
     "emb_recall_at_k": """, per AS (SELECT impression_id, avg(CASE WHEN rk <= 50 THEN 1.0 ELSE 0 END) r50, avg(CASE WHEN rk <= 100 THEN 1.0 ELSE 0 END) r100, avg(CASE WHEN rk <= 200 THEN 1.0 ELSE 0 END) r200 FROM (SELECT impression_id, article_id FROM ev_imp WHERE label = 1) LEFT JOIN emb_rank USING (impression_id, article_id) GROUP BY ALL)
         SELECT round(coalesce(avg(r50), 0), 6) recall_50, round(coalesce(avg(r100), 0), 6) recall_100, round(coalesce(avg(r200), 0), 6) recall_200, count(*) n_queries FROM per""",
     "rank_within_impression": "SELECT impression_id, article_id, score, CAST(row_number() OVER (PARTITION BY impression_id ORDER BY score DESC NULLS LAST, cand_pos) AS INT) AS rank FROM cand",
-    "minmax_blend": "SELECT impression_id, article_id, round(0.37 * disc + 0.63 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END, 6) blend FROM (SELECT *, min(score) OVER (PARTITION BY impression_id) lo, max(score) OVER (PARTITION BY impression_id) hi FROM cand)",
+    "minmax_blend": "SELECT impression_id, article_id, round((1 / 3e0) * disc + (1 - 1 / 3e0) * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END, 6) blend FROM (SELECT *, min(score) OVER (PARTITION BY impression_id) lo, max(score) OVER (PARTITION BY impression_id) hi FROM cand)",
     "impression_metrics": f"SELECT impression_id, user_id, {_R('auc', 'mrr', 'ndcg5', 'ndcg10')} FROM ({_PER})",
     "eval_ranking_all": f"SELECT {_MEANS} FROM ({_PER})",
     "auc_tie_aware": """, t AS (SELECT impression_id, label, rank() OVER (PARTITION BY impression_id ORDER BY score) + (count(*) OVER (PARTITION BY impression_id, score) - 1) / 2.0 r FROM late_rows),

@@ -273,7 +273,7 @@ def rank_within_impression(spark, d):
 
 
 def minmax_blend(spark, d):
-    return models.minmax_blend(A.candidates(spark, d), "disc", "score", 0.37).select("impression_id", "article_id", *_r("blend"))
+    return models.minmax_blend(A.candidates(spark, d), "disc", "score", 1 / 3).select("impression_id", "article_id", *_r("blend"))
 
 
 def _per_impression(spark, d, score="score"):
