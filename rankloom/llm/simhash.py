@@ -22,41 +22,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import components, cut, table
+from ._text import mix
 
 BITS = 64
 #: Above so many distinct fingerprints two wide segments give fewer accidental matches than three narrow ones.
 TWO_SEGMENTS_FROM = 1 << 28
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    words = text.lower().split()  # bytes: A-Z only, and the six ASCII white spaces
-    n = len(words)
+#: What the further words of a fingerprint add to each hash before it is mixed.
+_TURNS = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(8)]
+
+
+def fingerprints(text: bytes, shingle: int = 4, seed: int = 42, words: int = 1) -> list[int]:
+    """Independent 64-bit fingerprints: the first votes with the shingles' hashes, the others with those mixed anew."""
+    found = text.lower().split()  # bytes: A-Z only, and the six ASCII white spaces
+    n = len(found)
     if not n:
-        return 0
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        return [0] * words
+    joined = memoryview(b" ".join(found))
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1) - 1
     begins = np.empty(n, np.int64)
     begins[0], begins[1:] = 0, ends[:-1] + 1
     k = max(1, n - shingle + 1)
     h = xxhash.xxh64_intdigest
-    hashes = [h(joined[a:b], seed) for a, b in zip(begins[:k].tolist(), ends[min(shingle, n) - 1 :].tolist())]
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, k, 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], dtype=">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > k).tobytes(), "big", signed=True)
+    hashes = np.array([h(joined[a:b], seed) for a, b in zip(begins[:k].tolist(), ends[min(shingle, n) - 1 :].tolist())], np.uint64)
+    out = []
+    for w in range(words):
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, k, 1 << 16):
+            part = hashes[i : i + (1 << 16)]
+            part = (mix(part + _TURNS[w]) if w else part).astype(">u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > k).tobytes(), "big", signed=True))
+    return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
-    """docs with its fingerprint as a long column, named name (a column of that name is replaced)."""
-    docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    return fingerprints(text, shingle, seed)[0]
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 4, seed: int = 42, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """docs with its fingerprints as long columns, one for each of names (columns of those names are replaced)."""
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary())
-            fps = pa.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle, seed) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fps], [*b.schema.names, name])
+            fps = [fingerprints(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle, seed, len(names)) for x in texts]
+            cols = [pa.array([f[i] for f in fps], pa.int64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -127,26 +142,42 @@ def _neighbours(fps: DataFrame, radius: int, rotations=(0, 16, 32, 48), ahead: i
     return rows.repartitionByRange("turn", "o").sortWithinPartitions("turn", "o").select("fp", "turn").mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def near_components(rows: DataFrame, id_col: str = "doc_id", radius: int = 4) -> DataFrame:
-    """rows(id_col, fp) -> (fp, component_id): the least identifier reachable, for each distinct fingerprint."""
-    classes = cut(rows.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    comp = components(links(classes, radius))
+def near_components(rows: DataFrame, id_col: str = "doc_id", radius: int = 4, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """rows(id_col, names...) -> (fp, component_id): the least identifier reachable, for each distinct first fingerprint.
+
+    With several fingerprints, documents are linked if any of them is within the radius."""
+    first, *others = names
+    classes = cut(rows.groupBy(F.col(first).alias("fp")).agg(F.min(id_col).alias("rep")))
+    edges = links(classes, radius)
+    for name in others:
+        # each value of this fingerprint stands for the least first fingerprint that it occurs with
+        of = cut(rows.groupBy(F.col(name).alias("fp")).agg(F.min(first).alias("least")))
+        near = cut(links(of, radius))
+        ends = near.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        same = rows.join(of.toDF(name, "least"), name).where(F.col(first) != F.col("least")).select(F.col(first).alias("a"), F.col("least").alias("b"))
+        edges = edges.unionByName(ends).unionByName(same)
+    comp = components(edges)
     rooted = cut(classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
     return rooted.join(least, "root").select("fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 7) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 7, words: int = 3) -> DataFrame:
     """docs with one document of each group of near copies: the one with the least identifier.
 
+    A pair whose shingle sets have a Jaccard similarity of 0.8 differs in 9.7 of 64 bits on average, one of 0.9 in 6.7.
+    One fingerprint within the radius of 7 finds about a quarter of the former and two thirds of the latter, `words`
+    independent ones 0.56 and 0.96 for words = 3, and chance pairs stay rarer than 2e-10.
+
     Among repeated rows of that identifier one stays; rows whose group has no identifier at all keep one per
     fingerprint."""
-    rows = cut(with_fingerprint(docs.select(id_col, text), text, shingle, name="fp").select(id_col, "fp"))
-    least = near_components(rows, id_col, radius)
+    names = ("fp", *[f"f{i}" for i in range(1, words)])
+    rows = cut(with_fingerprint(docs.select(id_col, text), text, shingle, names=names).select(id_col, *names))
+    least = near_components(rows, id_col, radius, names)
     if not _repeats(rows, id_col):  # the identifier names the row
         keep = rows.join(least, "fp").where(F.col(id_col) == F.col("component_id")).select(id_col)
         return docs.join(cut(keep), id_col, "left_semi").select(*docs.columns)
-    marked = with_fingerprint(docs, text, shingle, name="__fp")
+    marked = with_fingerprint(docs, text, shingle, names=("__fp",))
     keep = cut(least.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component")))
     out = marked.join(keep, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component")))
     return out.dropDuplicates([id_col, "__fp"]).select(*docs.columns)

@@ -5,10 +5,11 @@ import pytest
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from rankloom.llm import pii, quality  # noqa: E402
+from rankloom.llm import simhash as S  # noqa: E402
 
 from .helpers import clashing, no_docs, odd_docs  # noqa: E402
 from .test_mixing import brute_targets  # noqa: E402
-from .test_simhash import brute_components, brute_fp  # noqa: E402
+from .test_simhash import brute_components_of, brute_fp  # noqa: E402
 
 
 def test_each_stage_against_brute_force(spark):
@@ -27,7 +28,9 @@ def test_each_stage_against_brute_force(spark):
     assert {r["doc_id"] for r in rows[0]} == kept and len(rows[0]) == len(kept)
 
     first = sorted(rows[0], key=lambda r: r["doc_id"])
-    comp = brute_components([brute_fp(r["text"], 5) for r in first], 7)
+    words = [S.fingerprints(r["text"].encode(), 5, words=3) for r in first]
+    assert [w[0] % (1 << 64) for w in words] == [brute_fp(r["text"], 5) for r in first]
+    comp = brute_components_of([[w % (1 << 64) for w in x] for x in words], 7)
     assert sorted(r["doc_id"] for r in rows[1]) == [first[i]["doc_id"] for i in sorted(set(comp))]
 
     text = {r["doc_id"]: r["text"] for r in rows[1]}

@@ -20,6 +20,11 @@ def brute_fp(text, k=4):
 
 
 def brute_components(fps, radius):
+    return brute_components_of([[f] for f in fps], radius)
+
+
+def brute_components_of(fps, radius):
+    """fps: a list of fingerprints for each document; one within the radius links two."""
     par = list(range(len(fps)))
 
     def find(x):
@@ -29,7 +34,7 @@ def brute_components(fps, radius):
 
     f = np.array(fps, dtype=np.uint64)
     for i in range(len(f)):
-        for j in np.flatnonzero(np.bitwise_count(f[i] ^ f) <= radius):
+        for j in np.flatnonzero((np.bitwise_count(f[i] ^ f) <= radius).any(axis=1)):
             a, b = find(i), find(int(j))
             par[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(f))]
@@ -41,6 +46,19 @@ def test_fingerprints(k):
         assert S.fingerprint(t.encode(), k) % (1 << 64) == brute_fp(t, k)
 
 
+def test_several_fingerprints_link_more(spark):
+    rng = random.Random(5)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    fps = []
+    for _ in range(50):
+        x = [rng.getrandbits(64) for _ in range(3)]
+        fps += [x, [flip(y, rng.choice([2, 12])) for y in x], [x[0], rng.getrandbits(64), rng.getrandbits(64)][:: rng.choice([1, -1])]]
+    signed = [[f - (1 << 64) if f >> 63 else f for f in x] for x in fps]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(signed)], "doc_id long, fp long, f1 long, f2 long")
+    got = {r.fp: r.component_id for r in S.near_components(rows, radius=7, names=("fp", "f1", "f2")).collect()}
+    assert [got[x[0]] for x in signed] == brute_components_of(fps, 7)
+
+
 @pytest.mark.parametrize("radius", [4, 7])
 def test_links_find_every_pair(spark, radius):
     rng = random.Random(radius)
