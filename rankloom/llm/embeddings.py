@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,11 @@ class Tables:
         return mix((mix(h) * self.names[:, 0]).sum(axis=2, dtype=np.uint64) + np.arange(self.tables, dtype=np.uint64))
 
 
+@lru_cache(maxsize=16)
+def tables_of(size: int, k: int, tables: int) -> Tables:
+    return Tables(size, k, tables)
+
+
 def unit_vectors(column: pa.Array, size: int) -> np.ndarray:
     x = np.array(column.to_pylist(), float).reshape(-1, size)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
@@ -83,7 +89,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         for b in batches:
             for size in set(b.column(1).value_lengths().to_pylist()):
                 own = b.filter(pa.compute.equal(pa.compute.list_value_length(b.column(1)), size))
-                h = Tables(size, k, tables).buckets(unit_vectors(own.column(1), size)).view(np.int64)
+                h = tables_of(size, k, tables).buckets(unit_vectors(own.column(1), size)).view(np.int64)
                 c = own.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(c))), pa.array(h.ravel())], ["c", "t", "h"])
 
@@ -105,7 +111,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
             x = unit_vectors(group.column("v").take(pa.array(own)).combine_chunks(), int(size))
-            buckets = Tables(int(size), k, tables).buckets(x)[:, :t]  # the tables before this one
+            buckets = None
             left = np.flatnonzero(me[own] == i)
             right = left if i == j else np.flatnonzero(me[own] == j)
             for at in range(0, len(left), 256):
@@ -115,6 +121,8 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
                 p, q = (p[p < q], q[p < q]) if i == j else (p, q)
                 exact = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
                 p, q = p[exact], q[exact]
+                if len(p) and buckets is None:
+                    buckets = tables_of(int(size), k, tables).buckets(x)[:, :t]  # the tables before this one
                 for s in range(0, len(p), 1 << 16):
                     a, b = p[s : s + (1 << 16)], q[s : s + (1 << 16)]
                     new = ~(buckets[a] == buckets[b]).any(axis=1)
