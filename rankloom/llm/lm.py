@@ -35,7 +35,7 @@ from ._text import Words, mix, parts
 
 FOLDS, TEST_FOLD, HELD_OUT_FOLD = 7, 2, 5
 #: Bytes of text in a unit, entries of n-grams in a range of hashes.
-UNIT_BYTES, RANGE_ENTRIES, MOST_RANGES = 16 << 20, 1 << 20, 1 << 16
+UNIT_BYTES, RANGE_ENTRIES, MOST_RANGES = 5 << 20, 1 << 20, 1 << 16
 BUCKETS = 48  # of context frequencies
 LEVELS = 64  # of each estimate, in the summary that the weights are learned from
 NOT_USED, COUNTED, HELD_OUT = 0, 1, 2
@@ -90,8 +90,10 @@ class Unit:
         uni, begin, pair = self.keys()
         role = self.roles.astype(np.uint64)
         own = role[self.doc]
-        keys = np.sort(np.concatenate([uni | own, begin | role, pair | own]))
-        roles = keys & np.uint64(3)
+        keys = np.concatenate([uni | own, begin | role, pair | own])
+        del uni, begin, pair, own
+        keys.sort()
+        roles = (keys & np.uint64(3)).astype(np.uint8)
         keys &= ~np.uint64(3)
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
@@ -136,6 +138,7 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, Un
             if size >= UNIT_BYTES:
                 yield done()
                 nr, held, size = nr + 1, [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield done()
 
