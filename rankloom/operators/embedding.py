@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +63,52 @@ def max_similarity(candidates: DataFrame, window: DataFrame, vectors: DataFrame)
     return candidates.join(best, ["impression_id", "cand_pos"], "left").fillna(0.0, ["emb_max_sim"])
 
 
+#: Components of a catalogue (articles x dimensions) that are sent to every executor, 8 bytes each.
+CATALOGUE_VALUES = 16_000_000
+
+
 def top_k(users: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Each user vector (the queries) against the whole catalogue in blocks; the catalogue is broadcast if it is small."""
-    scored = users.join(vectors.select("article_id", "vec")).select("impression_id", "article_id", dot(F.col("uvec"), as_double("vec")).alias("score"))
+    """(impression_id, article_id, score, rank): the k best articles of the catalogue for each user vector.
+
+    A catalogue of checked size goes to the executors as one matrix, and blocks of users are multiplied with it; a
+    larger one is dealt into blocks of that size, whose k best are merged."""
+    rows = vectors.select("article_id", as_double("vec").alias("vec"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    blocks = max(1, -(-size["n"] * (size["d"] or 1) // CATALOGUE_VALUES))
+    out = None
+    for b in range(blocks):
+        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("article_id"), F.lit(blocks)) == b)
+        found = own.orderBy("article_id").collect()  # at most about CATALOGUE_VALUES values
+        if found:
+            part = users.select("impression_id", "uvec").mapInArrow(_best_of([r.article_id for r in found], np.array([r.vec for r in found]), k), "impression_id string, article_id string, score double, rank int")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return users.sparkSession.createDataFrame([], "impression_id string, article_id string, score double, rank int")
+    if blocks == 1:
+        return out
     best = Window.partitionBy("impression_id").orderBy(F.desc(F.round("score", 9)), "article_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _best_of(names: list[str], matrix: np.ndarray, k: int):
+    """names in ascending order, so that the first of equal scores is the least name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = pa.array(names)
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                scores = np.array(b.column(1).to_pylist(), float).reshape(len(b), -1) @ matrix.T
+                m = min(k, scores.shape[1])
+                order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :m]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(np.repeat(np.arange(len(b)), m))),
+                        label.take(pa.array(order.ravel())),
+                        pa.array(np.take_along_axis(scores, order, axis=1).ravel()),
+                        pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(b))),
+                    ],
+                    ["impression_id", "article_id", "score", "rank"],
+                )
+
+    return run
