@@ -23,7 +23,8 @@ from ._shared import cut, join_small, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # a target stops at so many times its source's size
-SHARDS, BLOCKS_PER_SHARD = 16, 32
+#: Output shards: one for each SHARD_WORDS words, within these bounds; and the blocks that a shard takes on average.
+SHARDS, SHARD_WORDS, BLOCKS_PER_SHARD = (16, 4096), 50_000_000, 32
 SEED = 17
 
 
@@ -97,13 +98,17 @@ def split(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), F.explode("own").alias("x")).select("shard", "x.nr", "x.n")
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, shards: int = SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, shards: int | None = None, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """docs with __mix, a struct of size, source_size, target and draws: one (shard, place) for each time that the mix
     takes the row. place orders the rows of a shard at random."""
     own = [f"__{i}" for i in range(len(docs.columns))]  # names that clash with none below
     sized = docs.select(*docs.columns, size_of(text), F.xxhash64(F.lit(seed), key, text), F.col(source)).toDF(*own, "__size", "__hash", "__from")
     slim = cut(docs.select(F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(F.lit(seed), key, text).alias("hash")))
-    sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    sizes = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    if shards is None:
+        all_words = sizes.agg(F.sum("source_size")).first()[0] or 0
+        shards = min(SHARDS[1], max(SHARDS[0], -(-all_words // SHARD_WORDS)))
+    sources = targets(sizes)
     total = F.sum("source_size").over(Window.partitionBy())
     blocks = F.greatest(F.lit(1), F.round(shards * blocks_per_shard * F.col("source_size") / F.greatest(total, F.lit(1)))).cast("long")
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
