@@ -412,11 +412,12 @@ def gbt_rerank(spark, d):
 def stream_score_impressions(spark, d):
     """Scores impressions that arrive as files; no SQL."""
     import tempfile
+    import uuid
 
     from ..streaming.scoring import score_stream, stream_impressions
 
     at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    at = f"{at.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     i = A.event_impressions(spark, d)
     i.write.mode("overwrite").parquet(f"{at}/in")
     stream = stream_impressions(spark, f"{at}/in", i.schema, 8)
