@@ -48,14 +48,6 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_row
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 #: So many links are joined up by one task; more are contracted first.
 SMALL_GRAPH = 500_000
 
