@@ -1,0 +1,172 @@
+"""Near copies by the Jaccard similarity of their word shingles: min-hash bands propose pairs, the whole sets decide.
+
+Method: documents with equal shingle sets are one class. A class has BANDS keys, each made of ROWS min-hashes of its set,
+and a pair that shares a key is a candidate; a candidate is a link only if the similarity of the two whole sets is at
+least 0.8, which is decided in whole numbers. A pair at exactly 0.8 shares a key with probability 1 - (1 - 0.8^8)^50 =
+0.9999, one at 0.85 with 1 - 2e-7. Links come in two rounds: neighbours in some of the buckets first, which joins large
+groups by about as many links as they have members, then all pairs of a bucket that are not yet in one component.
+
+Defined results: a null or empty text has the empty set, equal to every other empty one and similar to nothing else; a
+text of fewer words than a shingle is one shingle; words are split at ASCII white space, A-Z are lowered."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._shared import components, cut, scratch
+from ._text import Words, mix, parts
+
+ROWS, BANDS = 8, 50
+#: Buckets of so many bands take part in the first round.
+FIRST_BANDS = 8
+#: Places of the bitmap of classes whose sets are compared.
+PLACES = 1 << 24
+_LONGS = T.ArrayType(T.LongType(), False)
+_RANDOM = np.random.default_rng(80)
+_odd = lambda *shape: _RANDOM.integers(1, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TURNS, _BAND, _PLACE = _odd(ROWS * BANDS, 1), _odd(BANDS, ROWS), _odd(64)
+#: Shingles whose min-hashes are made at a time.
+_STEP = 256
+
+
+def shingle_sets(w: Words, shingle: int) -> Iterator[np.ndarray]:
+    """The distinct hashes of each document's shingles, in order."""
+    own, n = w.hashes(), len(w.starts)
+    whole = np.zeros(max(0, n - shingle + 1), np.uint64)
+    for j in range(shingle):
+        whole += own[j : j + len(whole)] * _PLACE[j]
+    whole = mix(whole)
+    at = 0
+    for c in w.counts().tolist():
+        if c >= shingle:
+            yield np.unique(whole[at : at + c - shingle + 1])
+        else:
+            yield mix((own[at : at + c] * _PLACE[:c]).sum(keepdims=True) + np.uint64(c)) if c else own[:0]
+        at += c
+
+
+def _classes(sets: Iterable[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def keys(found: np.ndarray) -> np.ndarray:
+    """The band keys of a set that is not empty."""
+    least = (found[:_STEP] * _TURNS).min(axis=1)
+    for i in range(_STEP, len(found), _STEP):
+        np.minimum(least, (found[i : i + _STEP] * _TURNS).min(axis=1), out=least)
+    return mix((mix(least).reshape(BANDS, ROWS) * _BAND).sum(axis=1))
+
+
+def with_keys(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
+    """(id, cls, n, ks) of each row: class, size and band keys of its shingle set; equal sets share the class."""
+    schema = T.StructType([docs.schema[id_col], *[T.StructField(n, t) for n, t in (("cls", T.LongType()), ("n", T.LongType()), ("ks", _LONGS))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, w in parts(b.column(1), lower=True):
+                sets = list(shingle_sets(w, shingle))
+                ks = [keys(s).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                cols = [pa.array(_classes(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ks, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], schema.names)
+
+    return docs.select(id_col, text).mapInArrow(run, schema)
+
+
+def sets_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(cls, sh) of the classes wanted(cls), once each, and of few others: a bitmap of fixed size keeps most of them from
+    being dealt out. It is exact in what it keeps: every wanted class passes."""
+    places = wanted.select(F.col("cls").bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("p")).distinct().toArrow()["p"].to_numpy()
+    bits = np.zeros(PLACES, bool)
+    bits[places] = True
+    bits = np.packbits(bits)
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("sh", _LONGS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, w in parts(b.column(0), lower=True):
+                sets = list(shingle_sets(w, shingle))
+                cls = _classes(sets)
+                at = cls & (PLACES - 1)
+                kept = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array([sets[i].view(np.int64) for i in kept], pa.list_(pa.int64()))], schema.names)
+
+    return cut(docs.select(text).mapInArrow(run, schema).groupBy("cls").agg(F.any_value("sh").alias("sh")))
+
+
+def with_class(docs: DataFrame, text: str, shingle: int, name: str) -> DataFrame:
+    """docs with the class of each row's shingle set as the column name."""
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, w in parts(b.column(b.schema.get_field_index(text)), lower=True):
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(_classes(shingle_sets(w, shingle)))], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _sizes_allow(n, m):
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def _neighbours(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that follow each other in a bucket, whose order is random and another in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            k, cls, n = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(last, batch.columns))
+            same = (k[1:] == k[:-1]) & (5 * np.minimum(n[1:], n[:-1]) >= 4 * np.maximum(n[1:], n[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[:-1][same]), pa.array(cls[1:][same])], ["a", "b"])
+            last = [k[-1:], cls[-1:], n[-1:]]
+
+    dealt = members.withColumn("o", F.xxhash64("k", "cls"))
+    pairs = dealt.repartitionByRange("k", "o").sortWithinPartitions("k", "o").select("k", "cls", "n").mapInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose sets have a similarity of 0.8 or more: common / (n + m - common) >= 4 / 5."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return cut(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+
+def similar(docs: DataFrame, rows: DataFrame, text: str, shingle: int) -> DataFrame:
+    """Links (a, b) between the classes of rows, with_keys of docs, whose components are those of all pairs found."""
+    members = cut(rows.select("cls", "n", "ks").groupBy("cls", "n").agg(F.any_value("ks").alias("ks")))
+    each = members.select(F.posexplode("ks").alias("band", "k"), "cls", "n")
+    shared = each.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("k")
+    each = cut(each.join(shared, "k", "left_semi"))
+    sets = sets_of(docs, text, shingle, each.select("cls"))
+    near = _links(_neighbours(each.where(F.col("band") < FIRST_BANDS).select("k", "cls", "n")), sets)
+    known = components(near).select(F.col("node").alias("cls"), F.col("root").alias("c"))
+    own = cut(each.join(known, "cls", "left").select("k", "cls", "n", F.coalesce("c", "cls").alias("c")))
+    mixed = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    left = own.join(mixed, "k", "left_semi")
+    other = left.toDF("k", "b", "m", "d")
+    pairs = left.withColumnRenamed("cls", "a").join(other, "k").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _sizes_allow(F.col("n"), F.col("m")))
+    return near.unionByName(_links(pairs.select("a", "b").distinct(), sets))
+
+
+def similar_components(docs: DataFrame, rows: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
+    """(cls, component_id) of each class of rows, with_keys of docs: the least identifier reachable over links."""
+    classes = cut(rows.groupBy("cls").agg(F.min(id_col).alias("rep")))
+    comp = components(similar(docs, rows, text, shingle))
+    rooted = cut(classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
+    return rooted.join(least, "root").select("cls", "component_id")
+
+
+def stored(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
+    """with_keys, made once; columns are read apart."""
+    at = scratch(docs.sparkSession, "keys")
+    with_keys(docs, id_col, text, shingle).write.parquet(at)
+    return docs.sparkSession.read.parquet(at)

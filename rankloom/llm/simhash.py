@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from ._shared import components, cut, table
 from ._text import mix
 
@@ -162,25 +163,23 @@ def near_components(rows: DataFrame, id_col: str = "doc_id", radius: int = 4, na
     return rooted.join(least, "root").select("fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 7, words: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one document of each group of near copies: the one with the least identifier.
 
-    A pair whose shingle sets have a Jaccard similarity of 0.8 differs in 9.7 of 64 bits on average, one of 0.9 in 6.7.
-    One fingerprint within the radius of 7 finds about a quarter of the former and two thirds of the latter, `words`
-    independent ones 0.56 and 0.96 for words = 3, and chance pairs stay rarer than 2e-10.
+    Two documents are near copies if their shingle sets have a Jaccard similarity of at least 0.8, decided on the whole
+    sets (jaccard.py); fingerprints within a radius neither find all such pairs nor only such.
 
     Among repeated rows of that identifier one stays; rows whose group has no identifier at all keep one per
-    fingerprint."""
-    names = ("fp", *[f"f{i}" for i in range(1, words)])
-    rows = cut(with_fingerprint(docs.select(id_col, text), text, shingle, names=names).select(id_col, *names))
-    least = near_components(rows, id_col, radius, names)
+    shingle set."""
+    rows = jaccard.stored(docs, id_col, text, shingle)
+    least = jaccard.similar_components(docs, rows, id_col, text, shingle)
     if not _repeats(rows, id_col):  # the identifier names the row
-        keep = rows.join(least, "fp").where(F.col(id_col) == F.col("component_id")).select(id_col)
+        keep = rows.select(id_col, "cls").join(least, "cls").where(F.col(id_col) == F.col("component_id")).select(id_col)
         return docs.join(cut(keep), id_col, "left_semi").select(*docs.columns)
-    marked = with_fingerprint(docs, text, shingle, names=("__fp",))
-    keep = cut(least.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component")))
-    out = marked.join(keep, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component")))
-    return out.dropDuplicates([id_col, "__fp"]).select(*docs.columns)
+    marked = jaccard.with_class(docs, text, shingle, "__cls")
+    keep = cut(least.select(F.col("cls").alias("__cls"), F.col("component_id").alias("__component")))
+    out = marked.join(keep, "__cls").where(F.col(id_col).eqNullSafe(F.col("__component")))
+    return out.dropDuplicates([id_col, "__cls"]).select(*docs.columns)
 
 
 def _repeats(rows: DataFrame, id_col: str) -> bool:

@@ -1,0 +1,64 @@
+import random
+from collections import defaultdict
+from itertools import combinations
+
+import pytest
+
+from rankloom.llm import simhash as S
+
+
+def sets(texts, k=5):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return out
+
+
+def similarities(found):
+    """Jaccard similarity of every pair of documents that share a shingle."""
+    at = defaultdict(list)
+    for i, s in enumerate(found):
+        for x in s:
+            at[x].append(i)
+    common = defaultdict(int)
+    for docs in at.values():
+        for p in combinations(docs, 2):
+            common[p] += 1
+    return {(a, b): (c, len(found[a]) + len(found[b]) - c) for (a, b), c in common.items()}
+
+
+def brute_kept(texts):
+    """Positions of the first document of each component of pairs with a similarity of at least 0.8."""
+    found = sets(texts)
+    par = list(range(len(texts)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    empty = [i for i, s in enumerate(found) if not s]
+    pairs = [p for p, (c, u) in similarities(found).items() if 5 * c >= 4 * u] + [(empty[0], i) for i in empty]
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        par[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def edited(rng, n_words, edits):
+    """A text of its own words and a copy in which single words far apart are others."""
+    w = [f"w{rng.getrandbits(40)}" for _ in range(n_words)]
+    v = list(w)
+    for e in range(edits):
+        v[10 + e * (n_words - 20) // max(1, edits)] = f"w{rng.getrandbits(40)}"
+    return " ".join(w), " ".join(v)
+
+
+@pytest.mark.parametrize("edits,kept", [(4, 1)])  # of 196 shingles 20 are others: similarity 0.815
+def test_pairs_about_the_threshold(spark, edits, kept):
+    rng = random.Random(edits)
+    texts = [t for _ in range(300) for t in edited(rng, 200, edits)]
+    assert len(brute_kept(texts)) == 300 * kept
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.dedup(docs).collect()) == brute_kept(texts)
