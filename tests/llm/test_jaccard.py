@@ -2,7 +2,9 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import types as T
 
 from rankloom.llm import simhash as S
 
@@ -55,10 +57,18 @@ def edited(rng, n_words, edits):
     return " ".join(w), " ".join(v)
 
 
-@pytest.mark.parametrize("edits,kept", [(4, 1)])  # of 196 shingles 20 are others: similarity 0.815
+@pytest.mark.parametrize("edits,kept", [(4, 1), (5, 2)])  # of 196 shingles 20 or 25 are others: similarity 0.815 and 0.774
 def test_pairs_about_the_threshold(spark, edits, kept):
     rng = random.Random(edits)
     texts = [t for _ in range(300) for t in edited(rng, 200, edits)]
     assert len(brute_kept(texts)) == 300 * kept
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.dedup(docs).collect()) == brute_kept(texts)
+
+
+def test_documents_against_brute_force(spark):
+    found = ds.dataset("/root/testdata/sf0.1/documents.parquet").to_table(columns=["doc_id", "text"]).sort_by("doc_id").slice(0, 4000)
+    texts = found["text"].to_pylist()
+    docs = spark.createDataFrame(found.to_pylist(), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
+    ids = found["doc_id"].to_pylist()
+    assert sorted(r.doc_id for r in S.dedup(docs).collect()) == [ids[i] for i in brute_kept(texts)]
