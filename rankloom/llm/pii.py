@@ -30,9 +30,21 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ ]?[A-Z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an account number of each country, without spaces.
+IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+        "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+        "MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 "
+        "SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+_OF_LENGTH = {c: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for c, n in IBAN_LENGTH.items()}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|token|secret|api_key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_-]{8,128}\"?)")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|token|secret|api_key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_-]{8,}+\"?)")
 #: Words near a span that speak for its kind.
 CONTEXT = {
     "email": ("mail", "contact", "write"),
@@ -88,12 +100,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length, whatever follows them, or else the longest form."""
+    at = 0
+    while m := _IBAN_START.search(text, at):
+        at = m.end()
+        known = _OF_LENGTH.get(m[0][:2])
+        for form in (known, _IBAN) if known else (_IBAN,):
+            found = form.match(text, m.start())
+            if found and 15 <= len(packed := found[0].replace(" ", "")) <= 34 and mod97(packed):
+                yield found.span()
+                at = found.end()
+                break
+
+
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    for m in _IBAN.finditer(text):
-        packed = m[0].replace(" ", "")
-        if 15 <= len(packed) <= 34 and mod97(packed):
-            out.append(("iban", m.start(), m.end()))
+    out = [("iban", a, b) for a, b in ibans(text)]
     out += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"]
     out += [("secret", m.start(), m.end()) for m in _SECRET.finditer(text)]
     return [s for s in out if score(text, *s) >= THRESHOLD]
