@@ -404,7 +404,7 @@ def gbt_rerank(spark, d):
     """Trains on the training split and ranks the later candidates; no SQL."""
     names = models.features_of("improved")
     rows = _features(spark, d).withColumn("score", F.col("score").cast("double"))
-    model = models.train(rows.where("split = 'train'"), names, rounds=5, depth=3)
+    model = models.train(rows.where("split = 'train'"), names)
     out = models.predict(model, rows.where("split <> 'train'"))
     return metrics.ranked(out, "gbt_score").select("impression_id", "article_id", "label", *_r("gbt_score"), "rank")
 
