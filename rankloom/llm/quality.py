@@ -2,9 +2,10 @@
 
 Method: every document gets counts of its words, symbols and repetitions. For each (language, source) group and each
 ratio of these a mergeable quantile sketch is built: a histogram over logarithmic buckets, whose counts simply add up,
-so that it is the same however the rows are dealt. The upper fence of a ratio is its group's median plus a multiple of
-the distance to the upper quantile, never under a floor; the lower fence mirrors it. The fences are joined back to
-the documents, and a document beyond a fence is rejected.
+so that it is the same however the rows are dealt. Fences come from the sketch alone. The upper fence of a ratio is its
+group's median plus SPREAD times the distance to an upper quantile: the first of UPPER that lies above the median, as
+many ratios are zero for most documents; where none does, the median is the fence. The lower fence mirrors it with the
+lower quartile, for ratios that have one. The fences are joined back to the documents, and one beyond a fence is rejected.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are groups of
 their own; a group with under min_docs documents takes the fences of its language, or else those of all documents;
@@ -26,15 +27,19 @@ from ._text import mix, parts, per_doc
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: ratio -> (numerator, denominator, floor of the upper fence, ceiling of the lower fence or None)
+#: ratio -> (numerator, denominator, whether it has a lower fence)
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 12.0, 3.0),
-    "symbols_per_word": ("n_symbols", "n_words", 0.3, None),
-    "dup_lines_per_word": ("n_dup_lines", "n_words", 0.1, None),
-    "repeat_share": ("n_repeat_words", "n_words", 0.35, None),
+    "word_length": ("word_chars", "n_words", True),
+    "symbols_per_word": ("n_symbols", "n_words", False),
+    "dup_lines_per_word": ("n_dup_lines", "n_words", False),
+    "repeat_share": ("n_repeat_words", "n_words", False),
 }
+SPREAD = 6.0
+#: Quantiles of which the first above the median tells how far a ratio spreads.
+UPPER = {"q75": 0.75, "q90": 0.9, "q95": 0.95, "q98": 0.98, "q99": 0.99}
+QUANTILES = {"q25": 0.25, "q50": 0.5, **UPPER}
 #: Relative width of a sketch's bucket; ratios under LEAST share the lowest.
-GAMMA, LEAST = 1.05, 1e-4
+GAMMA, LEAST = 1.01, 1e-4
 
 
 def count_words(column: pa.Array) -> dict[str, np.ndarray]:
@@ -105,29 +110,36 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _ratio(name: str):
-    over, under, _, _ = RATIOS[name]
+    over, under, _ = RATIOS[name]
     return F.coalesce(F.col(over) / F.nullif(F.col(under), F.lit(0)), F.lit(0.0))
 
 
+def _bucket(x):
+    return F.ceil(F.log(F.greatest(x, F.lit(LEAST)) / LEAST) / F.log(F.lit(GAMMA))).cast("int")
+
+
+def _middle(bucket):
+    return F.when(bucket <= 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GAMMA), bucket - 0.5))
+
+
 def sketch(counts: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, ratio, bucket, n): a quantile sketch of each ratio in each group. Sketches are merged by adding n."""
     ratios = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), _ratio(r).alias("x")) for r in RATIOS])).alias("r")
-    bucket = F.ceil(F.log(F.greatest(F.col("r.x"), F.lit(LEAST)) / LEAST) / F.log(F.lit(GAMMA))).cast("int")
-    return counts.select(*groups, ratios).select(*groups, "r.ratio", bucket.alias("bucket")).groupBy(*groups, "ratio", "bucket").agg(F.count("*").alias("n"))
+    return counts.select(*groups, ratios).select(*groups, "r.ratio", _bucket(F.col("r.x")).alias("bucket")).groupBy(*groups, "ratio", "bucket").agg(F.count("*").alias("n"))
 
 
 def quantiles(sketches: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
     """(groups, ratio, docs, one column for each share): quantiles read from the sketches."""
     w = Window.partitionBy(*groups, "ratio")
     run = sketches.withColumn("below", F.sum("n").over(w.orderBy("bucket"))).withColumn("docs", F.sum("n").over(w))
-    value = F.when(F.col("bucket") <= 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))
+    value = _middle(F.col("bucket"))
     return run.groupBy(*groups, "ratio").agg(F.max("docs").alias("docs"), *[F.min(F.when(F.col("below") >= F.col("docs") * q, value)).alias(name) for name, q in shares.items()])
 
 
-def fences(counts: DataFrame, lang: str = "lang", source: str = "source", spread: float = 4.0, min_docs: int = 30) -> DataFrame:
+def fences(counts: DataFrame, lang: str = "lang", source: str = "source", spread: float = SPREAD, min_docs: int = 30) -> DataFrame:
     """(lang, source, one pair lo_<ratio>, hi_<ratio> for each ratio) for every group of counts."""
     own = cut(sketch(counts, [lang, source]))
-    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    shares = QUANTILES
     level = quantiles(own, [lang, source], shares)
     by_lang = quantiles(own.groupBy(lang, "ratio", "bucket").agg(F.sum("n").alias("n")), [lang], shares)
     overall = quantiles(own.groupBy("ratio", "bucket").agg(F.sum("n").alias("n")), [], shares)
@@ -135,22 +147,26 @@ def fences(counts: DataFrame, lang: str = "lang", source: str = "source", spread
     both = a.join(b, F.col(f"a.{lang}").eqNullSafe(F.col(f"b.{lang}")) & (F.col("a.ratio") == F.col("b.ratio"))).join(F.broadcast(c), F.col("a.ratio") == F.col("c.ratio"))
     pick = lambda q: F.when(F.col("a.docs") >= min_docs, F.col(f"a.{q}")).when(F.col("b.docs") >= min_docs, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
     rows = both.select(F.col(f"a.{lang}").alias(lang), F.col(f"a.{source}").alias(source), F.col("a.ratio").alias("ratio"), *[pick(q).alias(q) for q in shares])
+    tail = F.coalesce(*[F.when(F.col(q) > F.col("q50"), F.col(q)) for q in UPPER], "q50")
     cols = []
-    for r, (_, _, floor, ceiling) in RATIOS.items():
+    for r, (_, _, lower) in RATIOS.items():
         mine = F.col("ratio") == r
-        cols.append(F.max(F.when(mine, F.greatest(F.lit(floor), F.col("q50") + spread * (F.col("q75") - F.col("q50"))))).alias(f"hi_{r}"))
-        low = F.lit(-1.0) if ceiling is None else F.least(F.lit(ceiling), F.col("q50") - spread * (F.col("q50") - F.col("q25")))
+        cols.append(F.max(F.when(mine, F.col("q50") + spread * (tail - F.col("q50")))).alias(f"hi_{r}"))
+        low = F.col("q50") - spread * (F.col("q50") - F.col("q25")) if lower else F.lit(-1.0)
         cols.append(F.max(F.when(mine, low)).alias(f"lo_{r}"))
     return rows.groupBy(lang, source).agg(*cols)
 
 
 def judged(counts: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """counts with the column kept: false if base_failed or beyond a fence."""
+    """counts with the column kept: false if base_failed or beyond a fence.
+
+    A ratio is compared as the middle of its bucket, as the fences are made of such."""
     names = counts.columns
     limits = cut(limits.withColumnsRenamed({lang: "__lang", source: "__source"}))
     within = ~F.col("base_failed")
     for r in RATIOS:
-        within = within & (_ratio(r) <= F.col(f"hi_{r}")) & (_ratio(r) >= F.col(f"lo_{r}"))
+        x = _middle(_bucket(_ratio(r)))
+        within = within & (x <= F.col(f"hi_{r}")) & (x >= F.col(f"lo_{r}"))
     joined = join_small(counts, limits, counts[lang].eqNullSafe(limits["__lang"]) & counts[source].eqNullSafe(limits["__source"]), "left")
     return joined.select(*names, F.coalesce(within, F.lit(False)).alias("kept"))
 

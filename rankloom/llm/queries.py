@@ -27,22 +27,24 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _quality_sql() -> str:
-    from .quality import GAMMA, LEAST, RATIOS
+    from .quality import GAMMA, LEAST, QUANTILES, RATIOS, SPREAD, UPPER
 
-    ratios = ", ".join(f"coalesce({a} / nullif({b}, 0), 0.0) {r}" for r, (a, b, _, _) in RATIOS.items())
+    ratios = ", ".join(f"coalesce({a} / nullif({b}, 0), 0.0) {r}" for r, (a, b, _) in RATIOS.items())
     long = " UNION ALL ".join(f"SELECT lang, source, '{r}' ratio, {r} x FROM c WHERE NOT base_failed" for r in RATIOS)
-    value = f"CASE WHEN bucket <= 0 THEN 0.0 ELSE {LEAST} * pow({GAMMA}, bucket - 0.5) END"
+    bucket = lambda x: f"ceil(ln(greatest({x}, {LEAST}) / {LEAST}) / ln({GAMMA}))"
+    middle = lambda b: f"CASE WHEN {b} <= 0 THEN 0.0 ELSE {LEAST} * pow({GAMMA}, {b} - 0.5) END"
+    value = middle("bucket")
     quantiles = lambda name, by: (
-        f"{name} AS (SELECT {by} ratio, max(docs) docs, min(v) FILTER (below >= docs * 0.25) q25, min(v) FILTER (below >= docs * 0.5) q50, min(v) FILTER (below >= docs * 0.75) q75 FROM "
+        f"{name} AS (SELECT {by} ratio, max(docs) docs, {', '.join(f'min(v) FILTER (below >= docs * {x}) {q}' for q, x in QUANTILES.items())} FROM "
         f"(SELECT {by} ratio, {value} v, sum(n) OVER (PARTITION BY {by} ratio ORDER BY bucket) below, sum(n) OVER (PARTITION BY {by} ratio) docs FROM (SELECT {by} ratio, bucket, sum(n) n FROM sk GROUP BY ALL)) GROUP BY ALL)"
     )
-    pick = ", ".join(f"CASE WHEN a.docs >= 30 THEN a.{q} WHEN b.docs >= 30 THEN b.{q} ELSE o.{q} END {q}" for q in ("q25", "q50", "q75"))
+    pick = ", ".join(f"CASE WHEN a.docs >= 30 THEN a.{q} WHEN b.docs >= 30 THEN b.{q} ELSE o.{q} END {q}" for q in QUANTILES)
+    tail = f"coalesce({', '.join(f'CASE WHEN {q} > q50 THEN {q} END' for q in UPPER)}, q50)"
     fence = ", ".join(
-        f"max(greatest({floor}, q50 + 4.0 * (q75 - q50))) FILTER (ratio = '{r}') hi_{r}, "
-        + (f"max(least({low}, q50 - 4.0 * (q50 - q25))) FILTER (ratio = '{r}') lo_{r}" if low is not None else f"-1.0 lo_{r}")
-        for r, (_, _, floor, low) in RATIOS.items()
+        f"max(q50 + {SPREAD} * ({tail} - q50)) FILTER (ratio = '{r}') hi_{r}, " + (f"max(q50 - {SPREAD} * (q50 - q25)) FILTER (ratio = '{r}') lo_{r}" if lower else f"-1.0 lo_{r}")
+        for r, (_, _, lower) in RATIOS.items()
     )
-    within = " AND ".join(f"{r} BETWEEN lo_{r} AND hi_{r}" for r in RATIOS)
+    within = " AND ".join(f"{middle(bucket(r))} BETWEEN lo_{r} AND hi_{r}" for r in RATIOS)
     return f"""
 WITH t AS (SELECT row_number() OVER () rid, doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws FROM documents),
 lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) ls FROM t),
@@ -53,7 +55,7 @@ n AS (SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) n_words, CAST(co
         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines, coalesce(rep.n, 0) n_repeat_words
       FROM t JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
 c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed, {ratios} FROM n),
-sk AS (SELECT lang, source, ratio, ceil(ln(greatest(x, {LEAST}) / {LEAST}) / ln({GAMMA})) bucket, count(*) n FROM ({long}) GROUP BY ALL),
+sk AS (SELECT lang, source, ratio, {bucket("x")} bucket, count(*) n FROM ({long}) GROUP BY ALL),
 {quantiles("own", "lang, source,")}, {quantiles("by_lang", "lang,")}, {quantiles("overall", "")},
 f AS (SELECT lang, source, {fence} FROM (SELECT a.lang, a.source, a.ratio, {pick} FROM own a JOIN by_lang b ON a.lang IS NOT DISTINCT FROM b.lang AND a.ratio = b.ratio JOIN overall o ON o.ratio = a.ratio) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({within}, false) kept

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import jaccard
+from . import near
 from ._shared import components, cut, table
 from ._text import mix
 
@@ -166,17 +166,17 @@ def near_components(rows: DataFrame, id_col: str = "doc_id", radius: int = 4, na
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one document of each group of near copies: the one with the least identifier.
 
-    Two documents are near copies if their shingle sets have a Jaccard similarity of at least 0.8, decided on the whole
-    sets (jaccard.py); fingerprints within a radius neither find all such pairs nor only such.
+    Two documents are linked if multi-index hashing of their fingerprints proposes them (near.py) and their shingle sets
+    have a Jaccard similarity of at least 0.8, decided on the whole sets.
 
     Among repeated rows of that identifier one stays; rows whose group has no identifier at all keep one per
     shingle set."""
-    rows = jaccard.stored(docs, id_col, text, shingle)
-    least = jaccard.similar_components(docs, rows, id_col, text, shingle)
+    rows = near.stored(docs, id_col, text, shingle)
+    least = near.similar_components(docs, rows, id_col, text, shingle)
     if not _repeats(rows, id_col):  # the identifier names the row
         keep = rows.select(id_col, "cls").join(least, "cls").where(F.col(id_col) == F.col("component_id")).select(id_col)
         return docs.join(cut(keep), id_col, "left_semi").select(*docs.columns)
-    marked = jaccard.with_class(docs, text, shingle, "__cls")
+    marked = near.with_class(docs, text, shingle, "__cls")
     keep = cut(least.select(F.col("cls").alias("__cls"), F.col("component_id").alias("__component")))
     out = marked.join(keep, "__cls").where(F.col(id_col).eqNullSafe(F.col("__component")))
     return out.dropDuplicates([id_col, "__cls"]).select(*docs.columns)

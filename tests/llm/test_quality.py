@@ -1,6 +1,8 @@
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
@@ -62,3 +64,37 @@ def test_odd_rows(spark):
     extra = clashing(docs, "n_words", "kept", "base_failed", "hi_word_length")
     assert Q.filtered(extra).columns == extra.columns
     assert Q.with_counts(extra).count() == docs.count()
+
+
+def test_fences_come_from_the_group(spark):
+    """A source whose words are longer moves its own fence and no other, and verdicts differ from those of one cutoff."""
+    rows = [(f"s{s}", 400, 400 * 5 + (i % 40) * 4 + (1200 if s == 1 else 0), 0, int(i % 20 == 0), i % 7) for s in range(3) for i in range(200)]
+    rows += [(f"s{s}", 400, 400 * 8, 0, 0, 0) for s in range(3)]  # usual for s1 alone
+    counts = spark.createDataFrame(rows, "source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").selectExpr("'en' lang", "*", "false base_failed")
+    limits = {r.source: r for r in Q.fences(counts).collect()}
+    assert limits["s0"].hi_word_length == limits["s2"].hi_word_length < 8 < limits["s1"].hi_word_length
+    assert limits["s1"].lo_word_length > 5 and limits["s0"].hi_symbols_per_word == 0
+    kept = Q.judged(counts, Q.fences(counts)).where("word_chars = 3200 AND NOT (n_repeat_words > 0)").groupBy("source").agg({"kept": "min"}).collect()
+    assert {r.source: r["min(kept)"] for r in kept} == {"s0": False, "s1": True, "s2": False}
+
+
+def test_fences_against_brute_force(spark):
+    sf = "/root/testdata/sf0.1"
+    counts = Q.with_counts(spark.read.parquet(f"{sf}/documents.parquet")).drop("text").where("NOT base_failed").cache()
+    rows = counts.toPandas()
+    limits = Q.fences(counts).toPandas()
+    seen = 0
+    for _, f in limits.iterrows():
+        x = rows[(rows.lang == f.lang) & (rows.source == f.source)]
+        if len(x) < 30:
+            continue
+        for r, (over, under, lower) in Q.RATIOS.items():
+            b = np.ceil(np.log(np.maximum(x[over] / x[under], Q.LEAST) / Q.LEAST) / np.log(Q.GAMMA))
+            v = sorted(np.where(b <= 0, 0.0, Q.LEAST * Q.GAMMA ** (b - 0.5)))
+            at = lambda q: v[max(0, math.ceil(q * len(v) - 1e-9) - 1)]  # noqa: B023, E731
+            tail = next((at(q) for q in Q.UPPER.values() if at(q) > at(0.5) + 1e-12), at(0.5))
+            assert f[f"hi_{r}"] == pytest.approx(at(0.5) + Q.SPREAD * (tail - at(0.5)))
+            assert f[f"lo_{r}"] == pytest.approx(at(0.5) - Q.SPREAD * (at(0.5) - at(0.25)) if lower else -1)
+            seen += f[f"hi_{r}"] > 0
+    assert seen > 100
+    assert limits.hi_word_length.nunique() > 20
