@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each written to the shared folder and read again by the next."""
+"""A training corpus from raw documents: five stages, each written to the shared folder and read again by the next.
+
+Defined results, for every stage: a null text is an empty one; nulls in other columns stay and are values of their own;
+repeated rows are judged alike, and of them one stays after near_dedup; long texts are read whole; an empty table gives
+an empty one; further columns, whatever their names, pass to the last stage, which leaves out all but doc_id."""
 
 from __future__ import annotations
 
@@ -10,12 +14,14 @@ from rankloom.llm._shared import scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie beyond a fence of their language and source go."""
+    """Documents that fail the base rules or lie beyond a fence of their language and source go; those without words too."""
     return quality.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least doc_id; shingles of five words."""
+    """One document of each group of near copies stays, that of the least doc_id; shingles of five words.
+
+    Rows without an identifier stay once for each text, unless their group has one."""
     return simhash.dedup(docs)
 
 
@@ -30,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece in sequences of at most 1024 tokens."""
-    return packing.packed(packing.pieces(docs.select("doc_id", "text"), packing.vocabulary("byte_bpe_50k.json")))
+    """The place of every piece in sequences of at most 1024 tokens, and its ids; packing.sequences() joins them up."""
+    return packing.packed(packing.pieces(docs.select("doc_id", "text"), packing.vocabulary("byte_bpe_50k.json"), keep_ids=True))
 
 
 STAGES = [
