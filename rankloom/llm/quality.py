@@ -175,8 +175,9 @@ def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     """The documents that pass, with the columns of docs."""
     counts = with_counts(docs.select(text, lang, source), text).where(~F.col("base_failed"))
     limits = fences(counts, lang, source)
-    full = docs.select(*docs.columns, F.struct(*docs.columns).alias("__row")).select("__row", F.col(text), F.col(lang), F.col(source))
-    return judged(with_counts(full, text), limits, lang, source).where("kept").select("__row.*")
+    full = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("__row"), text, lang, source)
+    kept = judged(with_counts(full, text), limits, lang, source).where("kept")
+    return kept.select(*[text if c == text else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
