@@ -56,8 +56,10 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.pieces = pieces
+        # texts that may hold one of the vocabulary's added tokens are left to the library
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I).search
         self.lower = pieces is word_pieces
         self.split = (WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.model = self.tokenizer.model.tokenize
@@ -73,7 +75,10 @@ class Ids(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         look = self.__getitem__
-        return [b"".join(map(look, self.pieces(t))) for t in texts]
+        return [self._library(t) if self.added(t) else b"".join(map(look, self.pieces(t))) for t in texts]
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         found = self._piece(piece)
@@ -87,7 +92,7 @@ class Ids(dict):
     def _piece(self, piece: str) -> bytes:
         """Pre-tokenised here where that is certain to agree; byte-pair encoding is always the library's."""
         if not (piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece)):
-            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            return self._library(piece)
         word = piece[1:] if piece[0] == " " else piece
         if word.isalpha():
             return self._part(piece)

@@ -19,7 +19,6 @@ TEXTS = ["", " ", "  ", "a ", " a", "a  b", "a   b  ", "\n a\n\n  b \n", "é
 def test_cached_ids_equal_whole_text_ids(file, pieces):
     path = public_tokenizers.path(file)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     rng = random.Random(1)
     made = ["".join(rng.choice("ab1 \n\té.'s,-²ß  ") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     texts = TEXTS + made + ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table()["text"].to_pylist()
