@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pyarrow.dataset as ds
@@ -47,6 +48,32 @@ def test_added_kinds_need_checksum_or_context():
     assert kinds("social security 123-45-6789") == ["ssn"]
     assert kinds("part 123-45-6789") == []
     assert kinds("password=b7db7aa4a5fcc78305 x") == ["secret"]
+    assert kinds("Password: b7db7aa4a5fcc78305 x") == kinds("sk-" + "a1" * 12) == kinds("ghp_" + "a1" * 12) == ["secret"]
+    assert kinds("social security 123-45-6789, a sample of a part order") == []  # context lowers too
+    assert kinds("example only: password=b7db7aa4a5fcc78305") == []
+    assert kinds("the account of DE89 3704 0044 0532 0130 00 EUR, see the sample") == ["iban"]
+    assert kinds("DE89 3704 0044 0532 0130 00 12 items") == ["iban"]
+
+
+def brute_score(text, kind, start, end):
+    near = [w.lower() for part in (text[max(0, start - P.CONTEXT_CHARS) : start], text[end : end + P.CONTEXT_CHARS]) for w in re.split(r"\W+", part)]
+    starts = lambda words: sum(any(n.startswith(w) for n in near) for w in words)
+    return P.PRIOR[kind] + 0.2 * starts(P.CONTEXT[kind]) - 0.25 * starts(P.AGAINST)
+
+
+def test_score_decides_as_brute_force_does():
+    rng = random.Random(4)
+    words = [*P.AGAINST, *[w for x in P.CONTEXT.values() for w in x], "the", "of", "red"]
+    seen = set()
+    for _ in range(500):
+        left, right = ([rng.choice(words) for _ in range(rng.randint(0, 3))] for _ in range(2))
+        kind, value = rng.choice([("ssn", "123-45-6789"), ("secret", "AKIA" + "B" * 16), ("iban", "GB82WEST12345698765432")])
+        text = " ".join([*left, value, *right])
+        at = len(" ".join(left)) + bool(left)
+        want = brute_score(text, kind, at, at + len(value)) >= P.THRESHOLD - 1e-9
+        assert ((kind, at, at + len(value)) in P.added_spans(text)) == want, text
+        seen.add((kind, want))
+    assert len(seen) >= 5
 
 
 def test_masking():
