@@ -18,6 +18,12 @@ def position_bias(rows: DataFrame, min_impressions: int = 100) -> DataFrame:
     return r.where(F.col("impressions") >= min_impressions).select("n_cand", "impressions", F.when((F.col("places") > 2) & ~F.isnan("rho"), F.col("rho")).alias("rho"))
 
 
+def position_verdict(per_length: DataFrame) -> DataFrame:
+    """One row: the mean of position_bias()'s rho over list lengths, and whether its size reaches 0.3."""
+    mean = F.avg("rho")
+    return per_length.agg(mean.alias("mean_rho"), F.coalesce(F.abs(mean) >= 0.3, F.lit(False)).alias("biased"))
+
+
 def leakage_violations(impressions: DataFrame, window: DataFrame) -> DataFrame:
     """Clicks in an impression's window at or after it: none."""
     return window.where("click_time >= impression_time").groupBy("impression_id").agg(F.count("*").alias("leaks"))

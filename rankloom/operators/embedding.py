@@ -63,6 +63,13 @@ def max_similarity(candidates: DataFrame, window: DataFrame, vectors: DataFrame)
     return candidates.join(best, ["impression_id", "cand_pos"], "left").fillna(0.0, ["emb_max_sim"])
 
 
+def stage1_scores(candidates: DataFrame, window: DataFrame, vectors: DataFrame) -> DataFrame:
+    """candidates with emb_score and emb_max_sim, made from the as-of window: what the re-ranker takes from the first stage."""
+    units = unit_vectors(vectors)
+    users = user_vectors(window.join(vectors.select("article_id", "vec"), "article_id"))
+    return max_similarity(candidate_scores(candidates, users, units), window, units)
+
+
 #: Components of a catalogue (articles x dimensions) that are sent to every executor, 8 bytes each.
 CATALOGUE_VALUES = 16_000_000
 

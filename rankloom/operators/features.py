@@ -14,9 +14,20 @@ def click_counts(articles_clicked: DataFrame) -> DataFrame:
     return articles_clicked.groupBy("article_id").agg(F.count("*").alias("clicks"))
 
 
-def popularity_percentile(history: DataFrame, before: Column | None = None) -> DataFrame:
-    """Share of articles with fewer clicks, ties averaged. Ranks are of distinct counts, so the window is small."""
-    h = history if before is None else history.where(F.col("click_time") < before)
+def validation_start(impressions: DataFrame) -> DataFrame:
+    """One row (cutoff): the time of the first validation impression."""
+    return impressions.where("split = 'val'").agg(F.min("impression_time").alias("cutoff"))
+
+
+def popularity_percentile(history: DataFrame, before: DataFrame | Column | None = None) -> DataFrame:
+    """Share of articles with fewer clicks, ties averaged. Ranks are of distinct counts, so the window is small.
+
+    before: a time, or one row (cutoff); clicks from then on don't count."""
+    h = history
+    if isinstance(before, DataFrame):
+        h = h.join(F.broadcast(before), F.col("click_time") < F.col("cutoff")).drop("cutoff")
+    elif before is not None:
+        h = h.where(F.col("click_time") < before)
     counts = click_counts(h)
     by = counts.groupBy("clicks").agg(F.count("*").alias("n"))
     up = Window.orderBy("clicks")
@@ -56,7 +67,7 @@ def with_freshness(impressions: DataFrame, articles: DataFrame) -> DataFrame:
     return c.withColumn("freshness_days", freshness(F.col("impression_time"), F.col("published_time"))).drop("published_time")
 
 
-def behavioural_features(impressions: DataFrame, history: DataFrame, articles: DataFrame, cutoff: Column | None = None, max_history: int = MAX_HISTORY) -> DataFrame:
+def behavioural_features(impressions: DataFrame, history: DataFrame, articles: DataFrame, cutoff: DataFrame | Column | None = None, max_history: int = MAX_HISTORY) -> DataFrame:
     """impressions with all features: the same rows, each once."""
     w = window_asof(impressions, history, max_history)
     out = with_freshness(category_affinity(impressions, w, articles), articles)

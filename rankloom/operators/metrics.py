@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import numbered
+
+#: Ranges of scores for the pooled AUC.
+RANGES = 256
+#: Draws of a resample that are made from one row.
+DRAWN = 10_000
 METRICS = ("auc", "mrr", "ndcg5", "ndcg10")
 
 
@@ -47,9 +53,16 @@ def tie_aware_auc(rows: DataFrame, score: str = "score", key=("impression_id",))
 
 
 def flat_auc(rows: DataFrame, score: str = "score") -> DataFrame:
-    """AUC over all candidates together. Rows are grouped by score first, so the running sum sees distinct scores only."""
+    """AUC over all candidates together. Rows are grouped by score first; the running sum of negatives is that of ranges of
+    scores, between RANGES quantiles, and that within a range. Missing scores come first."""
     tied = rows.groupBy(score).agg(F.sum("label").alias("p"), F.count("*").alias("c"))
-    t = tied.withColumn("below", F.sum(F.col("c") - F.col("p")).over(Window.orderBy(score)) - (F.col("c") - F.col("p")))
+    edges = rows.agg(F.coalesce(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10 * RANGES), F.array().cast("array<double>")).alias("edges"))
+    value = F.col(score).cast("double")
+    tied = tied.join(F.broadcast(edges)).withColumn("at", F.when(value.isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < value)))).drop("edges")
+    sizes = tied.groupBy("at").agg(F.sum(F.col("c") - F.col("p")).alias("n"))  # RANGES + 1 rows at most
+    before = sizes.select("at", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("before"))
+    inside = F.sum(F.col("c") - F.col("p")).over(Window.partitionBy("at").orderBy(score))
+    t = tied.join(F.broadcast(before), "at").withColumn("below", F.col("before") + inside - (F.col("c") - F.col("p")))
     s = t.agg(F.sum(F.col("p") * (F.col("below") + (F.col("c") - F.col("p")) / 2)).alias("w"), F.sum("p").alias("p"), F.sum(F.col("c") - F.col("p")).alias("n"))
     return s.select((F.col("w") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
 
@@ -123,12 +136,12 @@ def draw_weights(users: DataFrame, draws: int, seed: int = 42) -> DataFrame:
 
     Draw j of resample b is the user numbered md5(b_j_seed) mod n, so that any engine draws alike."""
     n = users.agg(F.count("*").alias("n"))
-    numbered = users.select("user_id").withColumn("i", F.row_number().over(Window.orderBy("user_id")) - 1)
-    grid = n.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).where("n > 0").repartition("b")
-    picks = grid.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    grid = n.where("n > 0").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    grid = grid.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(DRAWN).cast("long")))).repartition("b", "from")
+    picks = grid.withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + DRAWN - 1, F.col("n")))))
     code = F.conv(F.substring(F.md5(F.concat_ws("_", "b", "j", F.lit(seed))), 1, 8), 16, 10).cast("long")
     counts = picks.select("b", (code % F.col("n")).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
-    return counts.join(numbered, "i").select("b", "user_id", "w")
+    return counts.join(numbered(users, "user_id"), "i").select("b", "user_id", "w")
 
 
 def _replicas(sums: DataFrame, weights: DataFrame) -> DataFrame:

@@ -13,14 +13,19 @@ from ..functions.text import alnum_tokens, pad_right
 
 BASE = ["user_click_count", "user_hist_recency_sum", "session_clicks_1h", "session_clicks_24h", "category_match", "cat_affinity", "article_popularity", "freshness_days"]
 DWELL = ["hist_mean_read_time", "hist_mean_scroll"]
-#: Features that a server can't have in time.
-SERVING_UNSAFE = {"STAR": ["article_popularity"], "MIND": ["article_popularity"], "EBNERD": ["article_popularity", "hist_mean_read_time", "hist_mean_scroll"]}
-VARIANTS = {"baseline": [], "improved": ["score"], "serving": ["score"]}
+#: Features that can't be had in serving: logs whose histories and articles bear no times give none that is made of times.
+SERVING_UNSAFE = {"MIND": ["user_hist_recency_sum", "session_clicks_1h", "session_clicks_24h", "freshness_days", "hist_mean_read_time", "hist_mean_scroll"]}
+VARIANTS = ("baseline", "improved", "serving")
 
 
-def features_of(variant: str, dataset: str = "STAR", dwell: bool = False) -> list[str]:
-    names = BASE + (DWELL if dwell else []) + VARIANTS[variant]
-    return [n for n in names if variant != "serving" or n not in SERVING_UNSAFE[dataset]]
+def features_of(variant: str, dataset: str = "STAR", dwell: bool = False, stage1=("score",)) -> list[str]:
+    """baseline: behaviour alone; improved: with the first stage's scores (for embeddings emb_score and emb_max_sim);
+    serving: improved less what the data set can't give in serving."""
+    if variant not in VARIANTS:
+        raise ValueError(f"no variant {variant}")
+    names = BASE + (DWELL if dwell else []) + (list(stage1) if variant != "baseline" else [])
+    unsafe = SERVING_UNSAFE.get(dataset, []) if variant == "serving" else []
+    return [n for n in names if n not in unsafe]
 
 
 def filled(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -31,11 +36,21 @@ def filled(rows: DataFrame, names: list[str]) -> DataFrame:
 def train(rows: DataFrame, names: list[str], rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42):
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, minInstancesPerNode=20, subsamplingRate=0.9)
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(filled(rows, names))
-    if model.stages[0].getInputCols() != names:
-        raise ValueError("the model's features aren't in the order asked for")
     return model
 
 
+def check_order(model, expected: list[str]) -> None:
+    """Fails unless the trees split on exactly the features expected, in this order, as a saved list of them states."""
+    own = model.stages[0].getInputCols()
+    if own != expected or model.stages[1].numFeatures != len(expected):
+        raise ValueError(f"the model takes {own}, not {expected}")
+
+
+def train_variants(rows: DataFrame, dataset: str = "STAR", stage1=("score",), dwell: bool = False, **how) -> dict:
+    """{variant: model}, each trained on the same rows."""
+    return {v: train(rows, features_of(v, dataset, dwell, stage1), **how) for v in VARIANTS}
+
+
 def predict(model, rows: DataFrame, name: str = "gbt_score") -> DataFrame:
     names = model.stages[0].getInputCols()
     out = model.transform(filled(rows, names))

@@ -44,16 +44,23 @@ def earliest_click(df: DataFrame, keys=("user_id", "dataset", "article_id")) ->
 def chronological_halves(rows: DataFrame, time: str = "impression_time", key: str = "impression_id") -> DataFrame:
     """rows with split: the first half of the distinct impressions by (time, key) val, the rest test.
 
-    Impressions are counted by day; only those of the day where the half falls are numbered. So no task sorts them all."""
-    distinct = rows.select(key, time).distinct().withColumn("__day", F.to_date(time))
-    days = distinct.groupBy("__day").agg(F.count("*").alias("n"))
-    run = Window.orderBy("__day")
-    every = Window.partitionBy()
-    at = days.withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("half", F.floor(F.sum("n").over(every) / 2))
-    edge = at.where((F.col("before") <= F.col("half")) & (F.col("half") < F.col("before") + F.col("n"))).select(F.col("__day").alias("__edge"), (F.col("half") - F.col("before")).alias("__room"))
-    inside = distinct.join(F.broadcast(edge), F.col("__day") == F.col("__edge"))
-    first = inside.withColumn("__n", F.row_number().over(Window.orderBy(time, key))).where("__n <= __room").select(key, F.lit(True).alias("__val"))
+    Impressions are counted by day, those of the day where the half falls by second, and only those of the second where it
+    falls are numbered. So no task sorts them all."""
+    distinct = rows.select(key, time).distinct()
+    day, second = F.date_trunc("DAY", time).cast("timestamp_ntz"), F.date_trunc("SECOND", time).cast("timestamp_ntz")
+
+    def edge_of(units: DataFrame, room) -> DataFrame:
+        """The unit(at, n) in which the place `room` falls, and what is left of it."""
+        run = units.withColumn("before", F.sum("n").over(Window.orderBy("at")) - F.col("n")).withColumn("room", room)
+        return run.where((F.col("before") <= F.col("room")) & (F.col("room") < F.col("before") + F.col("n"))).select("at", (F.col("room") - F.col("before")).alias("room"))
+
+    days = distinct.groupBy(day.alias("at")).agg(F.count("*").alias("n"))
+    edge = edge_of(days, F.floor(F.sum("n").over(Window.partitionBy()) / 2)).toDF("__day", "__room")
+    inside = distinct.join(F.broadcast(edge), day == F.col("__day"))
+    seconds = inside.groupBy(second.alias("at"), F.col("__room")).agg(F.count("*").alias("n"))  # 86,400 rows at most
+    edge = edge_of(seconds, F.col("__room")).toDF("__edge", "__left")
+    last = distinct.join(F.broadcast(edge), second == F.col("__edge"))
+    first = last.withColumn("__n", F.row_number().over(Window.partitionBy("__edge").orderBy(time, key))).where("__n <= __left").select(key, F.lit(True).alias("__val"))
     marked = rows.join(first, key, "left").join(F.broadcast(edge.select("__edge")))  # edge is one row
-    day = F.to_date(time)
-    val = (day < F.col("__edge")) | ((day == F.col("__edge")) & F.coalesce("__val", F.lit(False)))
+    val = (second < F.col("__edge")) | ((second == F.col("__edge")) & F.coalesce("__val", F.lit(False)))
     return marked.withColumn("split", F.when(val, "val").otherwise("test")).drop("__val", "__edge")

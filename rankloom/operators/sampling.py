@@ -12,8 +12,20 @@ def seeded_sample(impressions: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return impressions.join(ids, "impression_id", "left_semi")
 
 
-def negative_samples(impressions: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """For each clicked candidate, k unclicked ones of its impression; those are repeated in turn where there are fewer.
+def numbered(df: DataFrame, key: str, name: str = "i") -> DataFrame:
+    """(key, name): the rows of df, whose key is unique, numbered from 0 by md5 of the key.
+
+    Rows are counted by the first digits of the md5 and numbered within those, so no task sorts them all."""
+    rows = df.select(key, F.md5(F.col(key).cast("string")).alias("__m")).withColumn("__part", F.substring("__m", 1, 3))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))  # 4096 rows at most
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__m", key)) - 1
+    return rows.withColumn("__i", inside).join(F.broadcast(before), "__part").select(key, (F.col("__i") + F.col("__before")).alias(name))
+
+
+def negative_samples(impressions: DataFrame, k: int, seed: int = 42, articles: DataFrame | None = None) -> DataFrame:
+    """For each clicked candidate, k unclicked ones of its impression; those are repeated in turn where there are fewer, and
+    where there are none k articles of the catalogue are drawn, with replacement.
 
     The impression's negatives are ordered once per positive by a seeded hash."""
     pos = impressions.where("label = 1").select("impression_id", F.col("article_id").alias("pos_id"))
@@ -22,4 +34,13 @@ def negative_samples(impressions: DataFrame, k: int, seed: int = 42) -> DataFram
     order = F.md5(F.concat_ws("_", "impression_id", "pos_id", "neg_id", F.lit(seed)))
     r = pos.join(neg, "impression_id").withColumn("rn", F.row_number().over(own.orderBy(order, "neg_id"))).withColumn("n", F.count("*").over(own))
     slots = F.filter(F.sequence(F.col("rn"), F.lit(k) + F.col("rn") - 1, F.col("n").cast("int")), lambda s: s <= k)
-    return r.where(F.col("rn") <= k).select("impression_id", "pos_id", F.explode(slots).alias("slot"), "neg_id")
+    own = r.where(F.col("rn") <= k).select("impression_id", "pos_id", F.explode(slots).alias("slot"), "neg_id")
+    if articles is None:
+        return own
+    alone = pos.join(neg.select("impression_id").distinct(), "impression_id", "left_anti")
+    catalogue = numbered(articles.select("article_id").distinct(), "article_id")
+    size = catalogue.agg(F.count("*").alias("size"))
+    slots = alone.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(F.broadcast(size)).where("size > 0")
+    code = F.conv(F.substring(F.md5(F.concat_ws("_", "impression_id", "pos_id", "slot", F.lit(seed))), 1, 8), 16, 10).cast("long")
+    drawn = slots.withColumn("i", code % F.col("size")).join(catalogue, "i")
+    return own.unionByName(drawn.select("impression_id", "pos_id", "slot", F.col("article_id").alias("neg_id")))

@@ -55,7 +55,7 @@ fresh AS (
   SELECT impression_id, article_id, coalesce(greatest(0.0, (epoch_us(impression_time) - epoch_us(published_time)) / 86400000000.0), -1.0) freshness_days
   FROM cand LEFT JOIN articles USING (article_id)),
 pct AS (SELECT article_id, (rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0) / count(*) OVER () pop_pct FROM (SELECT article_id, count(*) c FROM hist GROUP BY ALL)),
-pct_cut AS (SELECT article_id, (rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0) / count(*) OVER () pop_pct FROM (SELECT article_id, count(*) c FROM hist WHERE click_time < TIMESTAMP '1999-01-01' GROUP BY ALL)),
+pct_cut AS (SELECT article_id, (rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0) / count(*) OVER () pop_pct FROM (SELECT article_id, count(*) c FROM hist WHERE click_time < (SELECT min(impression_time) FROM imp WHERE split = 'val') GROUP BY ALL)),
 feat AS (
   SELECT i.impression_id, i.article_id, coalesce(user_click_count, 0) user_click_count, coalesce(user_hist_recency_sum, 0) user_hist_recency_sum, coalesce(session_clicks_1h, 0) session_clicks_1h,
          coalesce(session_clicks_24h, 0) session_clicks_24h, category_match, cat_affinity, coalesce(pop_pct, 0) article_popularity, freshness_days, hist_mean_read_time, hist_mean_scroll
@@ -118,8 +118,8 @@ def _bootstrap(per: list[str], select: str) -> str:
     out = ""
     for i, p in enumerate(per):
         out += f", per{i} AS ({p}), sums{i} AS (SELECT user_id, {cols} FROM per{i} GROUP BY ALL)"
-    out += f", us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 i, count(*) OVER () n FROM ({users}))"
-    out += f", draws AS (SELECT b, {_CODE} % n i FROM (SELECT unnest(range(1, 101)) b) CROSS JOIN (SELECT max(n) n FROM us) CROSS JOIN (SELECT unnest(range(1, (SELECT max(n) + 1 FROM us))) j))"
+    out += f", us AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id), user_id) - 1 i, count(*) OVER () n FROM ({users}))"
+    out += f", draws AS (SELECT b, {_CODE} % n i FROM (SELECT unnest(range(1, 1001)) b) CROSS JOIN (SELECT max(n) n FROM us) CROSS JOIN (SELECT unnest(range(1, (SELECT max(n) + 1 FROM us))) j))"
     out += ", weights AS (SELECT b, user_id, count(*) w FROM draws JOIN us USING (i) GROUP BY ALL)"
     for i in range(len(per)):
         out += f", r{i} AS (SELECT b, {sums} FROM weights JOIN sums{i} USING (user_id) GROUP BY ALL)"
@@ -179,6 +179,15 @@ _QUERIES = {
     "emb_max_sim": """, s AS (SELECT i.impression_id, i.article_id, w.article_id h, sum(a.x * b.x) d FROM ev_imp i JOIN (SELECT DISTINCT impression_id, article_id FROM ev_win) w USING (impression_id) JOIN unit_long a ON a.article_id = i.article_id JOIN unit_long b ON b.article_id = w.article_id AND a.dim = b.dim GROUP BY ALL),
         m AS (SELECT impression_id, article_id, max(d) d FROM s GROUP BY ALL)
         SELECT i.impression_id, i.article_id, round(coalesce(d, 0), 6) emb_max_sim FROM ev_imp i LEFT JOIN m USING (impression_id, article_id)""",
+    "stage1_scores": """, s AS (SELECT i.impression_id, i.article_id, w.article_id h, sum(a.x * b.x) d FROM ev_imp i JOIN (SELECT DISTINCT impression_id, article_id FROM ev_win) w USING (impression_id) JOIN unit_long a ON a.article_id = i.article_id JOIN unit_long b ON b.article_id = w.article_id AND a.dim = b.dim GROUP BY ALL),
+        m AS (SELECT impression_id, article_id, max(d) d FROM s GROUP BY ALL)
+        SELECT i.impression_id, i.article_id, label, round(coalesce(score, 0), 6) emb_score, round(coalesce(d, 0), 6) emb_max_sim
+        FROM ev_imp i LEFT JOIN m USING (impression_id, article_id) LEFT JOIN emb_scores USING (impression_id, article_id)""",
+    "stream_score_impressions": """, lab AS (SELECT CAST(vec_id AS VARCHAR) article_id, CAST(label AS VARCHAR) category FROM embeddings),
+        c AS (SELECT impression_id, category, count(*) n, sum(count(*)) OVER (PARTITION BY impression_id) total FROM ev_win JOIN lab USING (article_id) WHERE category <> '' GROUP BY impression_id, category),
+        k AS (SELECT impression_id, count(*) user_click_count FROM ev_win GROUP BY ALL)
+        SELECT i.impression_id, i.article_id, i.label, coalesce(user_click_count, 0) user_click_count, round(coalesce(n / total, 0.0), 6) cat_affinity
+        FROM ev_imp i LEFT JOIN lab USING (article_id) LEFT JOIN c ON c.impression_id = i.impression_id AND c.category = coalesce(lab.category, '') LEFT JOIN k ON k.impression_id = i.impression_id""",
     "emb_topk": "SELECT impression_id, CAST(rk AS INT) AS rank, article_id, round(score, 6) score FROM emb_rank WHERE rk <= 10",
     "emb_recall_at_k": """, per AS (SELECT impression_id, avg(CASE WHEN rk <= 50 THEN 1.0 ELSE 0 END) r50, avg(CASE WHEN rk <= 100 THEN 1.0 ELSE 0 END) r100, avg(CASE WHEN rk <= 200 THEN 1.0 ELSE 0 END) r200 FROM (SELECT impression_id, article_id FROM ev_imp WHERE label = 1) LEFT JOIN emb_rank USING (impression_id, article_id) GROUP BY ALL)
         SELECT round(coalesce(avg(r50), 0), 6) recall_50, round(coalesce(avg(r100), 0), 6) recall_100, round(coalesce(avg(r200), 0), 6) recall_200, count(*) n_queries FROM per""",
@@ -212,7 +221,14 @@ _QUERIES = {
     "sample_impressions_seeded": "SELECT impression_id, article_id, label FROM cand WHERE impression_id IN (SELECT impression_id FROM (SELECT DISTINCT impression_id FROM cand) ORDER BY md5(impression_id || '_42'), impression_id LIMIT 500)",
     "negative_sampling": """, n AS (SELECT p.impression_id, p.article_id pos_id, q.article_id neg_id, row_number() OVER w rn, count(*) OVER (PARTITION BY p.impression_id, p.article_id) n FROM cand p JOIN cand q ON p.impression_id = q.impression_id AND p.label = 1 AND q.label = 0
           WINDOW w AS (PARTITION BY p.impression_id, p.article_id ORDER BY md5(p.impression_id || '_' || p.article_id || '_' || q.article_id || '_42'), q.article_id))
-        SELECT impression_id, pos_id, CAST(slot AS INT) slot, neg_id FROM n JOIN (SELECT unnest([1, 2, 3, 4]) slot) ON (slot - 1) % n = rn - 1""",
+        SELECT impression_id, pos_id, CAST(slot AS INT) slot, neg_id FROM n JOIN (SELECT unnest([1, 2, 3, 4]) slot) ON (slot - 1) % n = rn - 1
+        UNION ALL SELECT impression_id, pos_id, CAST(slot AS INT), a.article_id FROM
+          (SELECT c.impression_id, c.article_id pos_id, slot, '0x' || substr(md5(c.impression_id || '_' || c.article_id || '_' || slot || '_42'), 1, 8) code
+           FROM cand c CROSS JOIN (SELECT unnest([1, 2, 3, 4]) slot) WHERE label = 1 AND impression_id NOT IN (SELECT impression_id FROM cand WHERE label = 0))
+          JOIN (SELECT article_id, row_number() OVER (ORDER BY md5(article_id), article_id) - 1 i, count(*) OVER () size FROM articles) a ON CAST(code AS BIGINT) % a.size = a.i""",
+    "position_bias_verdict": """, t AS (SELECT cand_pos, label, count(*) OVER (PARTITION BY impression_id) n_cand FROM cand), b AS (SELECT n_cand, cand_pos, avg(label) ctr, count(*) shown FROM t GROUP BY ALL),
+        r AS (SELECT n_cand, CASE WHEN count(*) > 2 THEN corr(cand_pos, ctr) END rho FROM b GROUP BY n_cand HAVING max(shown) >= 100)
+        SELECT round(avg(rho) FILTER (NOT isnan(rho)), 6) mean_rho, coalesce(abs(avg(rho) FILTER (NOT isnan(rho))) >= 0.3, false) biased FROM r""",
     "position_bias": """, t AS (SELECT cand_pos, label, count(*) OVER (PARTITION BY impression_id) n_cand FROM cand), b AS (SELECT n_cand, cand_pos, avg(label) ctr, count(*) shown FROM t GROUP BY ALL)
         SELECT n_cand, max(shown) impressions, round(CASE WHEN count(*) > 2 THEN corr(cand_pos, ctr) END, 6) rho FROM b GROUP BY n_cand HAVING max(shown) >= 100""",
     "ctr_by_position": "SELECT cand_pos, count(*) shown, round(avg(label), 6) ctr FROM cand WHERE cand_pos <= 12 GROUP BY ALL",

@@ -130,12 +130,12 @@ def popularity_percentile(spark, d):
 
 
 def popularity_percentile_cutoff(spark, d):
-    return features.popularity_percentile(A.history(spark, d), F.lit("1999-01-01").cast("timestamp_ntz")).select("article_id", *_r("pop_pct"))
+    return features.popularity_percentile(A.history(spark, d), features.validation_start(A.impressions(spark, d))).select("article_id", *_r("pop_pct"))
 
 
 def _features(spark, d, impressions=None):
     i = A.impressions(spark, d) if impressions is None else impressions
-    return features.behavioural_features(i, A.history(spark, d), A.articles(spark, d), F.lit("1999-01-01").cast("timestamp_ntz"))
+    return features.behavioural_features(i, A.history(spark, d), A.articles(spark, d), features.validation_start(A.impressions(spark, d)))
 
 
 def behavioural_features_full(spark, d):
@@ -257,6 +257,12 @@ def emb_max_sim(spark, d):
     return embedding.max_similarity(A.event_impressions(spark, d), _event_window(spark, d), v).select("impression_id", "article_id", *_r("emb_max_sim"))
 
 
+def stage1_scores(spark, d):
+    """Both scores of the first stage on every candidate."""
+    out = embedding.stage1_scores(A.event_impressions(spark, d), _event_window(spark, d), A.vectors(spark, d))
+    return out.select("impression_id", "article_id", "label", *_r("emb_score", "emb_max_sim"))
+
+
 def emb_topk(spark, d):
     v = embedding.unit_vectors(A.vectors(spark, d))
     return embedding.top_k(_user_vectors(spark, d), v, 10).select("impression_id", "rank", "article_id", *_r("score"))
@@ -327,7 +333,7 @@ def evaluation_by_slice(spark, d):
     return e.select("slice", "n_impressions", *_r(*metrics.METRICS, "novelty", "coverage", "ild"))
 
 
-DRAWS = 100
+DRAWS = 1000
 
 
 def bootstrap_ci(spark, d):
@@ -343,13 +349,17 @@ def sample_impressions_seeded(spark, d):
 
 
 def negative_sampling(spark, d):
-    return sampling.negative_samples(A.candidates(spark, d), 4)
+    return sampling.negative_samples(A.candidates(spark, d), 4, articles=A.articles(spark, d))
 
 
 def position_bias(spark, d):
     return checks.position_bias(A.candidates(spark, d)).select("n_cand", "impressions", *_r("rho"))
 
 
+def position_bias_verdict(spark, d):
+    return checks.position_verdict(checks.position_bias(A.candidates(spark, d))).select(*_r("mean_rho"), "biased")
+
+
 def ctr_by_position(spark, d):
     return checks.ctr_by_position(A.candidates(spark, d)).select("cand_pos", "shown", *_r("ctr"))
 
@@ -437,7 +447,7 @@ tokenize_bm25 tokenize_alnum vocab_topn encode_titles_padded bm25_term_stats bm2
 vectors_l2_normalized user_vector_mean user_vector_recency_weighted user_vector_engagement_weighted emb_candidate_scores emb_max_sim emb_topk
 emb_recall_at_k rank_within_impression minmax_blend impression_metrics eval_ranking_all auc_tie_aware auc_flat novelty coverage
 intra_list_diversity slice_cold_warm slice_head_tail evaluation_by_slice bootstrap_ci paired_bootstrap_ci sample_impressions_seeded
-negative_sampling position_bias ctr_by_position leakage_violations split_order_violations integrity_checks feature_degeneracy
+negative_sampling position_bias position_bias_verdict stage1_scores ctr_by_position leakage_violations split_order_violations integrity_checks feature_degeneracy
 submission_rank_lists submission_ordered_ids parse_predictions serving_cost_model dataset_summary gbt_rerank stream_score_impressions""".split()
 
 

@@ -30,8 +30,8 @@ def news_articles(spark: SparkSession, path: str, dataset: str = "MIND") -> Data
 
 
 def news_behaviors(spark: SparkSession, path: str, split: str, dataset: str = "MIND") -> tuple[DataFrame, DataFrame]:
-    """(history, impressions). A click of the history has no time of its own and takes one second before its impression."""
-    b = tsv(spark, path, BEHAVIORS).withColumn("impression_time", parse_event_time(F.col("time"))).withColumn("dataset", F.lit(dataset)).where("impression_time IS NOT NULL")
+    """(history, impressions). A click of the history has no time of its own and takes one second before its impression. A time that can't be read is null; its rows stay."""
+    b = tsv(spark, path, BEHAVIORS).withColumn("impression_time", parse_event_time(F.col("time"))).withColumn("dataset", F.lit(dataset))
     past = explode_tokens(b, "history", "user_id", "dataset", "impression_time", token="article_id")
     past = past.withColumn("click_time", F.col("impression_time") - F.expr("INTERVAL 1 SECOND")).groupBy("user_id", "dataset", "article_id").agg(F.min("click_time").alias("click_time"))
     shown = explode_impressions(b, "impressions", "impression_id", "user_id", "dataset", "impression_time").withColumn("split", F.lit(split))
@@ -48,6 +48,7 @@ def bundle_articles(spark: SparkSession, path: str, dataset: str = "EBNERD") ->
 
 def bundle_behaviors(spark: SparkSession, path: str, split: str, dataset: str = "EBNERD") -> DataFrame:
     b = spark.read.parquet(path).withColumn("dataset", F.lit(dataset)).withColumn("split", F.lit(split)).withColumn("impression_id", F.col("impression_id").cast("string")).withColumn("user_id", F.col("user_id").cast("string"))
+    b = b.withColumn("impression_time", F.col("impression_time").cast("timestamp_ntz"))
     out = explode_candidates(b, "article_ids_inview", "article_ids_clicked", "impression_id", "user_id", "dataset", "impression_time", "split")
     return out.withColumn("article_id", F.col("article_id").cast("string"))
 
@@ -56,9 +57,16 @@ def bundle_history(spark: SparkSession, path: str, dataset: str = "EBNERD") -> D
     h = spark.read.parquet(path).withColumn("dataset", F.lit(dataset)).withColumn("user_id", F.col("user_id").cast("string"))
     rows = explode_parallel(h, "article_id_fixed", "impression_time_fixed", "user_id", "dataset")
     rows = rows.withColumn("article_id", F.col("article_id").cast("string"))
+    rows = rows.withColumn("click_time", F.col("click_time").cast("timestamp_ntz"))
     return keep_first(rows, ["user_id", "article_id"], [F.col("pos")]).drop("pos")
 
 
+def first_of_splits(train: DataFrame, validation: DataFrame, keys=("user_id", "article_id")) -> DataFrame:
+    """History of both splits, once for each key: the row of train where both have one."""
+    both = train.withColumn("__from", F.lit(0)).unionByName(validation.withColumn("__from", F.lit(1)))
+    return keep_first(both, list(keys), [F.col("__from"), F.col("click_time")]).drop("__from")
+
+
 def malformed_tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a behaviours file: (impression_id, user_id, time, history, impressions); short lines keep their first
     field and have empty candidates, so that one output line answers each input line."""

@@ -143,8 +143,8 @@ def test_raw_logs(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("1\tu1\t11/13/2019 8:36:57 AM\tN1 N2\tN3-1 N4-0\n2\tu1\t11/14/2019 8:36:57 AM\tN2\tN5\n3\tu2\tbad\tN1\tN1-1\n")
     (tmp_path / "n.tsv").write_text('N1\tsport\tx\tA "title\tabs\turl\t[]\t[]\nN2\t\tx\tB\t\turl\t[]\t[]\n')
     past, shown = readers.news_behaviors(spark, f"{tmp_path}/b.tsv", "train")
-    assert sorted((r.article_id, r.click_time) for r in past.collect()) == [("N1", datetime(2019, 11, 13, 8, 36, 56)), ("N2", datetime(2019, 11, 13, 8, 36, 56))]
-    assert sorted((r.impression_id, r.article_id, r.label, r.cand_pos) for r in shown.collect()) == [("1", "N3", 1, 1), ("1", "N4", 0, 2), ("2", "N5", 0, 1)]
+    assert sorted(((r.article_id, r.click_time) for r in past.collect()), key=lambda x: (x[0], x[1] is None)) == [("N1", datetime(2019, 11, 13, 8, 36, 56)), ("N1", None), ("N2", datetime(2019, 11, 13, 8, 36, 56))]
+    assert sorted((r.impression_id, r.article_id, r.label, r.cand_pos) for r in shown.collect()) == [("1", "N3", 1, 1), ("1", "N4", 0, 2), ("2", "N5", 0, 1), ("3", "N1", 1, 1)]
     got = {r.article_id: (r.title, r.subtitle, r.category) for r in readers.news_articles(spark, f"{tmp_path}/n.tsv").collect()}
     assert got == {"N1": ('A "title', "abs", "sport"), "N2": ("B", "", "unknown")}
     (tmp_path / "m.tsv").write_text("1\tu\tt\th\tN1\n2\tshort\n")
@@ -166,5 +166,57 @@ def test_bootstrap(spark):
 
 
 def test_feature_lists():
-    assert not set(models.features_of("serving", "EBNERD", True)) & set(models.SERVING_UNSAFE["EBNERD"])
+    assert models.features_of("serving", "MIND", True) == ["user_click_count", "category_match", "cat_affinity", "article_popularity", "score"]
+    assert models.features_of("serving", "EBNERD", True) == models.features_of("improved", "EBNERD", True)
     assert models.features_of("improved")[:-1] == models.features_of("baseline")
+    assert models.features_of("improved", stage1=("emb_score", "emb_max_sim"))[-2:] == ["emb_score", "emb_max_sim"]
+
+
+def test_window_of_a_hot_user(spark):
+    """A user with 100,000 clicks and 2,000 impressions: the plan makes 50 rows for each, not the product."""
+    from rankloom.operators.history import window_asof
+
+    clicks = spark.range(100_000).selectExpr("'u' user_id", "'d' dataset", "cast(id % 777 as string) article_id", "timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, 0, id div 2) click_time")
+    shown = spark.range(2_000).selectExpr("cast(id as string) impression_id", "'u' user_id", "timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, 0, id * 25) impression_time")
+    got = window_asof(shown, clicks)
+    rows = got.where("impression_id = '1000'").orderBy("rn").collect()
+    want = sorted(((i // 2, i % 777) for i in range(50_000)), key=lambda x: (-x[0], str(x[1])))[:50]
+    start = datetime(2020, 1, 1)
+    assert [(int((r.click_time - start).total_seconds()), int(r.article_id)) for r in rows] == want and [r.rn for r in rows] == list(range(1, 51))
+    assert got.count() == 50 * 1_998 + sum(min(50, 2 * 25 * i) for i in (0, 1))
+    assert got.where("click_time >= impression_time").isEmpty()
+
+
+def test_negatives_of_impressions_without_any(spark):
+    from rankloom.operators.sampling import negative_samples, numbered
+
+    shown = spark.createDataFrame([("1", "a", 1), ("2", "a", 1), ("2", "b", 0)], "impression_id string, article_id string, label int")
+    articles = spark.range(1000).selectExpr("cast(id as string) article_id")
+    got = negative_samples(shown, 3, articles=articles).collect()
+    assert sorted((r.impression_id, r.slot) for r in got) == [(i, s) for i in ("1", "2") for s in (1, 2, 3)]
+    assert sorted(r.i for r in numbered(articles, "article_id").collect()) == list(range(1000))
+
+
+def test_feature_order(spark):
+    rows = spark.range(200).selectExpr("cast(id as double) a", "cast(id % 7 as double) b", "cast(id % 2 as int) label")
+    model = models.train(rows, ["a", "b"], rounds=1, depth=2)
+    models.check_order(model, ["a", "b"])
+    for wrong in (["b", "a"], ["a"], ["a", "b", "c"]):
+        with pytest.raises(ValueError):
+            models.check_order(model, wrong)
+
+
+def test_history_of_two_splits(spark):
+    from rankloom.sources import readers
+
+    a = spark.createDataFrame([("u", "x", "2020-01-02")], "user_id string, article_id string, t string").selectExpr("user_id", "article_id", "cast(t as timestamp_ntz) click_time")
+    b = spark.createDataFrame([("u", "x", "2020-01-01"), ("u", "y", "2020-01-01")], "user_id string, article_id string, t string").selectExpr("user_id", "article_id", "cast(t as timestamp_ntz) click_time")
+    assert sorted((r.article_id, r.click_time.day) for r in readers.first_of_splits(a, b).collect()) == [("x", 2), ("y", 1)]
+
+
+def test_plans_reach_the_scan(spark, sf, tmp_path):
+    """Filters and columns reach the Parquet scan."""
+    from rankloom.sources import adapters
+
+    plan = adapters.event_history(spark, sf)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedFilters: [In(event_type, [click,view])" in plan or "EqualTo(event_type,click)" in plan
