@@ -44,6 +44,21 @@ def test_links_match_brute_force(spark, block, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in rows)
 
 
+def test_pairs_of_tasks():
+    """Small, large and two-block tasks, among them one whose second block is empty."""
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 5, 24, 25, 60, 40, 30, 300]
+    two = [False, False, False, False, False, False, True, True, False]
+    task = np.repeat(np.arange(len(sizes)), sizes)
+    x = rng.normal(size=(4, 8))[rng.integers(0, 4, len(task))] + rng.normal(size=(len(task), 8)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    first = rng.random(len(task)) < 0.5
+    first[task == 7] = True
+    got = sorted((min(a, b), max(a, b)) for p, q in E._near(x, task, first, np.array(two)[task], 0.9) for a, b in zip(p.tolist(), q.tolist()))
+    want = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if task[a] == task[b] and (not two[task[a]] or first[a] != first[b]) and x[a] @ x[b] >= 0.9]
+    assert got == want and len(got) > 100
+
+
 def test_query_recall(spark):
     sf = "/root/testdata/sf0.01"
     rows = sorted(E.op2_embedding_lsh(spark, sf).collect())
