@@ -4,11 +4,11 @@ Method: a word's features are its byte n-grams of one to four, those at its edge
 space beside them, and the word itself (a learned lexicon), all hashed into one weight table. Transitions between the
 labels of neighbouring words are learned with them, by gradient ascent on the conditional likelihood, whose gradient is
 counts less forward-backward marginals. Training sequences are spans of labelled documents, half of them spliced from two
-languages, so that the transitions are those of code-switched text. Every word of every whole text is labelled, in chains
-of at most CHAIN words; a document's language is the label with the most marginal mass, its score that label's share.
+languages, so that the transitions are those of code-switched text. Every word of every whole text is labelled, each
+text being one chain; a document's language is the label with the most marginal mass, its score that label's share.
 
-The model is fitted on at most docs_per_lang documents of each language and words_per_doc words of each; it is a table
-of fixed size, whatever the input.
+The model is fitted on at most DOCS_PER_LANG labelled rows of each language: WORDS_PER_DOC neighbouring words from
+anywhere in a text. It is a table of fixed size, whatever the input.
 
 Defined results: a null text or one without a letter is `und` with score 0; words without letters are skipped; a null
 identifier is never learned from and not held out; repeated rows are judged alike; other columns are left alone; without
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table
+from ._shared import cut, join_small, table
 from ._text import Words, mix, parts
 
 DOCS_PER_LANG, WORDS_PER_DOC = 400, 96
 TABLE_BITS = 17
-CHAIN = 256
+#: Words of a text that are computed step by step, side by side with its other pieces.
+PIECE = 1024
 EPOCHS, RATE, DECAY = 30, 0.15, 1e-6
 
 _LETTER = np.zeros(256, bool)
@@ -207,7 +208,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
         mass = np.zeros((j - i, len(model.labels)))
         if len(doc):
             v = vocabulary(w, keep)
-            p, _ = _marginals_only(Chains.of(doc, CHAIN), emissions(v, model.weights)[v.inverse], model.start, model.trans)
+            p, _ = _marginals_only(Chains.of(doc, PIECE), emissions(v, model.weights)[v.inverse], model.start, model.trans, doc)
             mass = np.stack([np.bincount(doc, p[:, k], minlength=j - i) for k in range(len(model.labels))], axis=1)
         best, total = mass.argmax(axis=1), mass.sum(axis=1)
         ascii_ = np.diff(np.concatenate([[0], np.cumsum(_LETTER[w.data] & (w.data < 128))])[w.offsets]) > 0
@@ -221,18 +222,54 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
     return out, scores
 
 
-def _marginals_only(chains: Chains, score: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, None]:
-    """As marginals(), without the expected transitions."""
+def _messages(chains: Chains, doc: np.ndarray, seen: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each chain gets from the words of its document before it and after it. A chain's paths, summed for each label
+    of its first and of its last word, are one matrix, made for those documents only that have several chains."""
+    labels = len(first)
+    heads = chains.at[0]
+    before, after = np.tile(first, (len(heads), 1)), np.ones((len(heads), labels))
+    follows = (heads > 0) & (doc[heads - 1] == doc[heads])
+    order = np.argsort(heads)
+    followed = np.zeros(len(heads), bool)
+    followed[order[:-1]] = follows[order[1:]]
+    many = np.flatnonzero(follows | followed)
+    if not len(many):
+        return before, after
+    paths = np.eye(labels) * seen[heads[many]][:, None, :].astype(float)
+    at = chains.at[:, many]
+    for t in range(1, len(at)):
+        k = int((at[t] >= 0).sum())
+        x = (paths[:k] @ move) * seen[at[t, :k]][:, None, :]
+        paths[:k] = x / np.maximum(x.sum(axis=(1, 2), keepdims=True), 1e-300)
+    row = np.full(len(heads), -1)
+    row[many] = np.arange(len(many))
+    line = [c for c in order.tolist() if row[c] >= 0]
+    for last, c in zip([None, *line], line):
+        if follows[c]:
+            x = before[last] @ paths[row[last]] @ move
+            before[c] = x / max(x.sum(), 1e-300)
+    for c, following in zip(line[-2::-1], line[:0:-1]):
+        if followed[c]:
+            x = move @ (paths[row[following]] @ after[following])
+            after[c] = x / max(x.sum(), 1e-300)
+    return before, after
+
+
+def _marginals_only(chains: Chains, score: np.ndarray, start: np.ndarray, trans: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, None]:
+    """As marginals(), without the expected transitions. With the document of each word, chains of one document are
+    pieces of one chain."""
     steps, n = chains.at.shape
     seen = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float32)
-    move, first = np.exp(trans - trans.max()).astype(np.float32), np.exp(start - start.max()).astype(np.float32)
+    move, first = np.exp(trans - trans.max()), np.exp(start - start.max())
+    doc = np.arange(len(score)) if doc is None else doc  # no two chains of one document
+    before, back = (x.astype(np.float32) for x in _messages(chains, doc, seen, move, first))
+    move = move.astype(np.float32)
     fore = np.zeros((steps, n, score.shape[1]), np.float32)
     for t in range(steps):
         k = chains.active[t]
-        x = seen[chains.at[t, :k]] * (first if t == 0 else fore[t - 1, :k] @ move)
+        x = seen[chains.at[t, :k]] * (before if t == 0 else fore[t - 1, :k] @ move)
         fore[t, :k] = x / np.maximum(x.sum(axis=1, keepdims=True), 1e-30)
     out = np.zeros_like(seen)
-    back = np.ones((n, score.shape[1]), np.float32)
     for t in range(steps - 1, -1, -1):
         k = chains.active[t]
         m = fore[t, :k] * back[:k]
@@ -243,11 +280,16 @@ def _marginals_only(chains: Chains, score: np.ndarray, start: np.ndarray, trans:
 
 
 def labelled_sample(docs: DataFrame, key: str, text: str, lang: str, docs_per_lang: int) -> tuple[list[str], list[str]]:
-    """At most docs_per_lang texts of each language, those with the least hash of their identifier."""
-    ids = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, lang, F.xxhash64(F.lit(3), key).alias("h"))
+    """Labelled texts of at most docs_per_lang identifiers of each language, those with the least hash, and of each text
+    WORDS_PER_DOC neighbouring words, beginning anywhere in the whole text."""
+    ids = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, lang, F.xxhash64(F.lit(3), key).alias("h")).distinct()
     few = ids.withColumn("r", F.row_number().over(Window.partitionBy(lang).orderBy("h", key))).where(F.col("r") <= docs_per_lang).select(key).distinct()
-    words = F.slice(F.split(F.col(text), r"[\x20\x09-\x0D]+"), 1, WORDS_PER_DOC + 1)
-    rows = docs.join(F.broadcast(few), key, "left_semi").where(F.col(lang).isNotNull()).select(F.array_join(words, " ").alias("t"), F.col(lang).alias("g"), F.xxhash64(F.lit(3), key).alias("h")).collect()
+    few = cut(few)
+    words = F.split(F.col(text), r"[\x20\x09-\x0D]+")
+    begin = F.pmod(F.xxhash64(F.lit(5), key), F.greatest(F.size(words) - WORDS_PER_DOC, F.lit(0)).cast("long") + 1) + 1
+    rows = join_small(docs, few, key, "left_semi").where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.array_join(F.slice(words, begin.cast("int"), WORDS_PER_DOC), " ").alias("t"), F.col(lang).alias("g"), F.xxhash64(F.lit(3), key).alias("h"))
+    rows = rows.groupBy("h", "g").agg(F.min("t").alias("t")).collect()  # one of the rows that share an identifier
     rows.sort(key=lambda r: (r.h, r.g, r.t))
     return [r.t for r in rows], [r.g for r in rows]
 

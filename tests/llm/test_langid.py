@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
+import pytest
 
 from rankloom.llm import langid as L
 from rankloom.llm._text import parts
@@ -75,3 +76,21 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in L.with_language(docs, None).collect()} == {"und"}
     assert L.predict(model, ["123 ...", "12 ½", "éß 1", "中文"])[0][:2] == ["und", "und"]
     assert L.predict(model, ["éß 1", "中文"])[0] != ["und", "und"]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1024])
+def test_pieces_of_a_text_are_one_chain(piece):
+    rng = np.random.default_rng(piece)
+    doc = np.repeat(np.arange(6), [1, 7, 8, 40, 3, 21])
+    score, start, trans = rng.normal(size=(len(doc), 4)) * 2, rng.normal(size=4), rng.normal(size=(4, 4)) * 2
+    want, _ = L.marginals(L.Chains.of(doc, 1 << 30), score, start, trans)
+    np.testing.assert_allclose(L._marginals_only(L.Chains.of(doc, piece), score, start, trans, doc)[0], want, atol=1e-5)
+
+
+def test_sample_takes_words_from_whole_texts(spark):
+    words = " ".join(f"w{i}" for i in range(2000))
+    df = spark.createDataFrame([(i, words, "aa") for i in range(60)] + [(7, words, "aa")] * 80 + [(None, words, "aa"), (70, None, "aa"), (71, "", "bb"), (72, words, None)], "doc_id long, text string, lang string")
+    texts, langs = L.labelled_sample(df, "doc_id", "text", "lang", 50)
+    assert sorted(set(langs)) == ["aa", "bb"] and langs.count("aa") <= 50
+    begins = {int(t.split()[0][1:]) for t, g in zip(texts, langs) if g == "aa"}
+    assert max(begins) > 1000 and len(begins) > 5 and all(len(t.split()) == L.WORDS_PER_DOC for t, g in zip(texts, langs) if g == "aa")
