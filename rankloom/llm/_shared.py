@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
+    """The folder that all executors share; one of our own only where none is set in local mode, as in tests."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if not at:
-        at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = at or f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()
     return at.rstrip("/")
