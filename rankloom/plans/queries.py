@@ -426,7 +426,10 @@ def stream_score_impressions(spark, d):
 
     from ..streaming.scoring import score_stream, stream_impressions
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    at = at or f"file://{tempfile.mkdtemp()}"
     at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     i = A.event_impressions(spark, d)
     i.write.mode("overwrite").parquet(f"{at}/in")
