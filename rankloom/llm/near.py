@@ -37,7 +37,7 @@ from ._text import Words, mix, parts
 #: Share of the pairs at a similarity of 0.8 that meet in some segment; of those, NEAR have a candidate's distance.
 RECALL, NEAR = 0.97, 0.99
 #: Words of the longer fingerprint.
-FULL = 8
+FULL = 12
 #: Bits by which two sets at a similarity of 0.8 differ, as a share: the angle between them over pi.
 APART = math.acos(2 * 0.8 / 1.8) / math.pi
 #: Classes that follow each in the first round, in the order of each segment.
