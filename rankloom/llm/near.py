@@ -44,6 +44,8 @@ APART = math.acos(2 * 0.8 / 1.8) / math.pi
 AHEAD = 6
 #: Classes under one key from which its largest component is told apart.
 HOT = 1000
+#: Lower bits of a segment, which are flipped after the exchange; most rows of one group that a task expands so.
+LOW, GROUP = 14, 1 << 17
 #: Places of the bitmap of classes whose sets are compared.
 PLACES = 1 << 24
 _LONGS = T.ArrayType(T.LongType(), False)
@@ -94,6 +96,13 @@ class Plan:
         ball = lambda value: F.transform(masks, lambda m: value.bitwiseXOR(m))
         return F.concat(*[ball(self.value(s).bitwiseOR(F.lit(s << 40))) for s in range(self.count)])
 
+    def deals(self) -> Column:
+        """(k, own) of all segments: the value itself, which stands for those one lower bit away too, and those one upper bit
+        away. Rows that share a key of keys() share its upper bits, so they can be dealt by those and expanded there."""
+        masks = F.array(*[F.lit(m).cast("long") for m in [0, *[1 << i for i in range(LOW, self.width)]]])
+        near = lambda value: F.transform(masks, lambda m: F.struct(value.bitwiseXOR(m).alias("k"), (m == 0).alias("own")))
+        return F.concat(*[near(self.value(s).bitwiseOR(F.lit(s << 40))) for s in range(self.count)])
+
     def first_meeting(self, key: str, a: str, b: str) -> Column:
         """Whether key is the one of all keys of a and b under which their pair counts."""
         out, earlier = F.lit(False), F.lit(True)
@@ -259,10 +268,46 @@ def _near_pairs(k: np.ndarray, words: list[np.ndarray], radius: int, n: np.ndarr
         step += 1
 
 
+def _expanded(k: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, the rows that they are of) of rows from deals()."""
+    mine, other = np.flatnonzero(own), np.flatnonzero(~own)
+    flips = np.array([0, *[1 << i for i in range(LOW)]], np.int64)
+    keys, at = np.concatenate([(k[mine, None] ^ flips).ravel(), k[other]]), np.concatenate([mine.repeat(len(flips)), other])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], at[order]
+
+
 def suspects(classes: DataFrame, plan: Plan) -> DataFrame:
-    """Classes (cls) that meet another one near enough, or that are under a key with HOT classes or more; repeats occur."""
+    """Classes (cls) that meet another one near enough, or that are under a key with HOT classes or more; repeats occur.
+
+    Keys are made in the task from rows dealt by their upper bits, so that fewer are exchanged. Groups of more than
+    GROUP such rows are not: their keys are exchanged one by one."""
     names, radius = _names(plan.words), plan.radius(plan.words)
-    rows = classes.select(F.explode(plan.keys()).alias("k"), "cls", "n", *names)
+    rows = classes.select(F.inline(plan.deals()), "cls", "n", *names).withColumn("d", F.shiftright("k", LOW))
+    large = cut(rows.groupBy("d").agg(F.count("*").alias("many")).where(F.col("many") > GROUP).select("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, k, own, cls, n, *words in _runs(batches):
+            keys, at = _expanded(k, own)
+            many = np.unique(keys, return_counts=True)[1]
+            hot = np.repeat(many >= HOT, many)
+            out = [cls[at[hot]]]
+            keys, at = keys[~hot], at[~hot]
+            for i, step in _near_pairs(keys, [w.view(np.uint64)[at] for w in words], radius, n[at]):
+                out += [cls[at[i]], cls[at[i + step]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["cls"])
+
+    dealt = rows if large.isEmpty() else join_small(rows, large, "d", "left_anti")
+    met = dealt.repartition("d").sortWithinPartitions("d").select("d", "k", "own", "cls", "n", *names).mapInArrow(run, "cls long")
+    if large.isEmpty():
+        return met
+    flips = F.array(*[F.lit(m).cast("long") for m in [0, *[1 << i for i in range(LOW)]]])
+    keys = F.when(F.col("own"), F.transform(flips, lambda m: F.col("k").bitwiseXOR(m))).otherwise(F.array("k"))
+    return met.unionByName(_suspects_by_key(join_small(rows, large, "d", "left_semi").select(F.explode(keys).alias("k"), "cls", "n", *names), radius))
+
+
+def _suspects_by_key(rows: DataFrame, radius: int) -> DataFrame:
+    """suspects() of rows(k, cls, n, w0, ...), one for each key; no key with HOT classes or more goes to one task."""
     hot = cut(rows.groupBy("k").agg(F.count("*").alias("many")).where(F.col("many") >= HOT).select("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

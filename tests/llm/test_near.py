@@ -103,6 +103,26 @@ def test_crowded_keys_miss_nothing(spark, monkeypatch):
     assert sorted(r.doc_id for r in S.dedup(docs).collect()) == kept
 
 
+def test_suspects_are_those_that_share_a_key(spark, monkeypatch):
+    """Rows dealt by upper bits, and large groups by key, give the classes that a comparison of all pairs gives."""
+    plan, rng = near.Plan(1 << 18), np.random.default_rng(5)
+    base = rng.integers(-(1 << 63), 1 << 63, (300, plan.words), dtype=np.int64)
+    flips = rng.random((300, plan.words, 64)) < rng.random((300, 1, 1)) * 0.3
+    copies = base ^ (flips.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+    words = np.vstack([base, copies])
+    found, radius = set(), plan.radius(plan.words)
+    values = np.array([plan.values(s, list(words.view(np.uint64).T)) for s in range(plan.count)])
+    for i in range(len(words)):
+        apart = np.bitwise_count((words ^ words[i]).view(np.uint64)).sum(axis=1)
+        meet = (np.bitwise_count(values ^ values[:, i : i + 1]) <= 2).any(axis=0) & (apart <= radius)
+        found |= {i} if meet.sum() > 1 else set()
+    df = spark.createDataFrame([(i, 9, *w) for i, w in enumerate(words.tolist())], ", ".join(["cls long", "n long", *[f"{n} long" for n in near._names(plan.words)]]))
+    assert 200 < len(found) < 590
+    assert {r.cls for r in near.suspects(df, plan).collect()} == found
+    monkeypatch.setattr(near, "GROUP", 70)
+    assert {r.cls for r in near.suspects(df, plan).collect()} == found
+
+
 def test_documents_against_brute_force(spark):
     found = ds.dataset("/root/testdata/sf0.1/documents.parquet").to_table(columns=["doc_id", "text"]).sort_by("doc_id").slice(0, 4000)
     texts = found["text"].to_pylist()
