@@ -162,9 +162,10 @@ _QUERIES = {
     "bm25_candidate_scores": """, s AS (SELECT impression_id, article_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) score FROM cand JOIN art_post USING (article_id) JOIN hist_terms USING (impression_id, term) JOIN art_idf USING (term) CROSS JOIN art_corpus GROUP BY ALL)
         SELECT impression_id, article_id, round(coalesce(s.score, 0), 6) bm25_score FROM cand LEFT JOIN s USING (impression_id, article_id)""",
     "bm25_topk": "SELECT query_id, CAST(rk AS INT) AS rank, article_id, score FROM bench_rank WHERE rk <= 10",
-    "bm25_recall_at_k": """, q AS (SELECT item_id query_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')[1:8], ' ') gram FROM benchmark),
-        g AS (SELECT article_id, array_to_string(tokens[i:i + 7], ' ') gram FROM (SELECT article_id, tokens, unnest(range(1, len(tokens) - 6)) i FROM docs_tok WHERE len(tokens) >= 8)),
-        truth AS (SELECT DISTINCT query_id, article_id FROM q JOIN g USING (gram)),
+    "bm25_recall_at_k": """, q AS (SELECT *, least(len(t), 8) m FROM (SELECT item_id query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') t FROM benchmark)),
+        qg AS (SELECT DISTINCT query_id, m, array_to_string(t[i:i + m - 1], ' ') gram FROM (SELECT *, unnest(range(1, len(t) - m + 2)) i FROM q WHERE m > 0)),
+        g AS (SELECT article_id, m, array_to_string(tokens[i:i + m - 1], ' ') gram FROM (SELECT article_id, tokens, m, unnest(range(1, len(tokens) - m + 2)) i FROM docs_tok CROSS JOIN (SELECT DISTINCT m FROM qg) WHERE len(tokens) >= m)),
+        truth AS (SELECT DISTINCT query_id, article_id FROM qg JOIN g USING (m, gram)),
         per AS (SELECT query_id, avg(CASE WHEN rk <= 50 THEN 1.0 ELSE 0 END) r50, avg(CASE WHEN rk <= 100 THEN 1.0 ELSE 0 END) r100, avg(CASE WHEN rk <= 200 THEN 1.0 ELSE 0 END) r200 FROM truth LEFT JOIN bench_rank USING (query_id, article_id) GROUP BY ALL)
         SELECT round(coalesce(avg(r50), 0), 6) recall_50, round(coalesce(avg(r100), 0), 6) recall_100, round(coalesce(avg(r200), 0), 6) recall_200, count(*) n_queries FROM per""",
     "vectors_l2_normalized": "SELECT article_id, CAST(dim AS INT) dim, round(x, 6) x FROM unit_long",

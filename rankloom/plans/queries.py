@@ -202,12 +202,21 @@ def bm25_topk(spark, d):
     return bm25.top_k(_benchmark_scores(spark, d), 10).select("query_id", "rank", "article_id", "score")
 
 
+def _grams(rows, key: str, tokens: str = "t") -> DataFrame:
+    """(key, m, gram): every run of m of a row's tokens."""
+    places = F.when(F.size(tokens) >= F.col("m"), F.sequence(F.lit(1), F.size(tokens) - F.col("m") + 1)).otherwise(F.array().cast("array<int>"))
+    return rows.select(key, "m", F.explode(F.transform(places, lambda i: F.array_join(F.slice(tokens, i, F.col("m")), " "))).alias("gram"))
+
+
 def _source_documents(spark, d):
-    """(query_id, article_id): documents that hold a benchmark passage's first words, the answers to find."""
-    q = A.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(bm25_tokens(F.col("text")), 1, 8), " ").alias("gram"))
-    t = A.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("article_id"), bm25_tokens(F.col("text")).alias("t")).where(F.size("t") >= 8)
-    grams = t.select("article_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))).alias("gram"))
-    return grams.join(F.broadcast(q), "gram").select("query_id", "article_id").distinct()
+    """(query_id, article_id): documents that share eight words in a row with a benchmark passage, or hold a shorter passage
+    whole: the answers to find."""
+    q = A.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), bm25_tokens(F.col("text")).alias("t"))
+    q = q.withColumn("m", F.least(F.size("t"), F.lit(8))).where("m > 0")
+    lengths = [r.m for r in q.select("m").distinct().collect()]  # at most 8 numbers
+    t = A.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("article_id"), bm25_tokens(F.col("text")).alias("t"))
+    t = t.withColumn("m", F.explode(F.array(*[F.lit(m) for m in lengths]).cast("array<int>")))
+    return _grams(t, "article_id").join(_grams(q, "query_id").distinct(), ["m", "gram"]).select("query_id", "article_id").distinct()
 
 
 def bm25_recall_at_k(spark, d):
