@@ -42,9 +42,8 @@ def integrity(impressions: DataFrame) -> DataFrame:
 
 def feature_degeneracy(features: DataFrame, names: list[str]) -> DataFrame:
     """Per feature: variance, and the share of impressions in which it takes more than one value."""
-    aggs = [F.count_distinct(c).alias(c) for c in names]
-    per = features.groupBy("impression_id").agg(*aggs)
-    share = per.agg(*[F.avg((F.col(c) > 1).cast("int")).alias(c) for c in names])
+    several = [F.coalesce(F.min(c) < F.max(c), F.lit(False)).cast("int").alias(c) for c in names]
+    share = features.groupBy("impression_id").agg(*several).agg(*[F.avg(c).alias(c) for c in names])
     var = features.agg(*[F.var_samp(c).alias(c) for c in names])
     stack = lambda df, x: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias(x)) for c in names])).alias("r")).select("r.*")
     return stack(var, "variance").join(stack(share, "varies"), "feature").withColumn("ok", F.col("variance") > 1e-12)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import days_between, decayed, freshness
-from .history import MAX_HISTORY, window_asof
+from .asof import candidate_features
+from .history import MAX_HISTORY
+from .shared import kept
 
 
 def click_counts(articles_clicked: DataFrame) -> DataFrame:
@@ -49,17 +51,11 @@ def window_features(window: DataFrame) -> DataFrame:
     )
 
 
-def category_counts(window: DataFrame, articles: DataFrame) -> DataFrame:
-    """(impression, category, n, total): histogram of the window's categories, empty ones left out."""
-    w = window.join(articles.select("article_id", "category"), "article_id").where("category <> ''")
-    by = w.groupBy("impression_id", "category").agg(F.count("*").alias("n"))
-    return by.withColumn("total", F.sum("n").over(Window.partitionBy("impression_id")))
-
-
-def category_affinity(impressions: DataFrame, window: DataFrame, articles: DataFrame) -> DataFrame:
-    c = impressions.join(articles.select("article_id", "category"), "article_id", "left").withColumn("category", F.coalesce("category", F.lit("")))
-    out = c.join(category_counts(window, articles), ["impression_id", "category"], "left")
-    return out.withColumn("category_match", F.col("n").isNotNull().cast("int")).withColumn("cat_affinity", F.coalesce(F.col("n") / F.col("total"), F.lit(0.0))).drop("n", "total")
+def category_affinity(impressions: DataFrame, history: DataFrame, articles: DataFrame, max_history: int = MAX_HISTORY) -> DataFrame:
+    """impressions with category_match and cat_affinity: whether the window holds the candidate's category, and its share there;
+    empty categories are left out."""
+    out = candidate_features(impressions, history, articles.select("article_id", "category"), max_history)
+    return out.select(*impressions.columns, "category_match", "cat_affinity")
 
 
 def with_freshness(impressions: DataFrame, articles: DataFrame) -> DataFrame:
@@ -69,8 +65,7 @@ def with_freshness(impressions: DataFrame, articles: DataFrame) -> DataFrame:
 
 def behavioural_features(impressions: DataFrame, history: DataFrame, articles: DataFrame, cutoff: DataFrame | Column | None = None, max_history: int = MAX_HISTORY) -> DataFrame:
     """impressions with all features: the same rows, each once."""
-    w = window_asof(impressions, history, max_history)
-    out = with_freshness(category_affinity(impressions, w, articles), articles)
-    out = out.join(popularity_percentile(history, cutoff).select("article_id", F.col("pop_pct").alias("article_popularity")), "article_id", "left").fillna(0.0, ["article_popularity"])
-    out = out.join(window_features(w), "impression_id", "left")
-    return out.fillna(0, ["user_click_count", "session_clicks_1h", "session_clicks_24h"]).fillna(0.0, ["user_hist_recency_sum"])
+    pop = popularity_percentile(history, cutoff).select("article_id", F.col("pop_pct").alias("article_popularity"))
+    known = kept(articles.select("article_id", "category", "published_time").join(pop, "article_id", "full"), "articles")
+    out = candidate_features(impressions, history, known, max_history)
+    return out.withColumn("freshness_days", freshness(F.col("impression_time"), F.col("published_time"))).drop("published_time").fillna(0.0, ["article_popularity"])

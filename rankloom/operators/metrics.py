@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import numbered
+from .resample import weighted_sums
+from .shared import kept
 
 #: Ranges of scores for the pooled AUC.
 RANGES = 256
-#: Draws of a resample that are made from one row.
-DRAWN = 10_000
 METRICS = ("auc", "mrr", "ndcg5", "ndcg10")
 
 
@@ -106,20 +105,27 @@ def head_articles(pop: DataFrame, quantile: float = 0.8) -> DataFrame:
     return pop.join(F.broadcast(at), F.col("pop") >= F.col("at")).select("article_id")
 
 
-def sliced(rows: DataFrame, history: DataFrame, pop: DataFrame) -> DataFrame:
-    """rows once for each slice that holds them: all, cold or warm by user, head or tail by article."""
+def marked(rows: DataFrame, history: DataFrame, pop: DataFrame) -> DataFrame:
+    """rows with slices: all, cold or warm by user, head or tail by article."""
     cls = user_class(rows.select("user_id").distinct(), history).select("user_id", F.col("slice").alias("__user"))
     head = head_articles(pop).withColumn("__head", F.lit("head"))
     j = rows.join(cls, "user_id").join(head, "article_id", "left")
-    return j.withColumn("slice", F.explode(F.array(F.lit("all"), F.col("__user"), F.coalesce("__head", F.lit("tail"))))).drop("__user", "__head")
+    return j.withColumn("slices", F.array(F.lit("all"), F.col("__user"), F.coalesce("__head", F.lit("tail")))).drop("__user", "__head")
+
+
+def sliced(rows: DataFrame, history: DataFrame, pop: DataFrame) -> DataFrame:
+    """rows once for each slice that holds them."""
+    return marked(rows, history, pop).withColumn("slice", F.explode("slices")).drop("slices")
 
 
 def evaluation_by_slice(rows: DataFrame, history: DataFrame, articles: DataFrame, score: str = "score", k: int = 10) -> DataFrame:
-    """Every metric of every slice. Slices cut candidates before they are ranked."""
-    pop = popularity(rows)
-    s = sliced(rows.where("split <> 'train'"), history, pop)
+    """Every metric of every slice. Slices cut candidates before they are ranked. Rows are marked once, and popularity is counted
+    once, for all metrics."""
+    pop = kept(popularity(rows), "popularity")
+    late = rows.where("split <> 'train'").select("impression_id", "user_id", "article_id", "label", "cand_pos", score)
+    s = kept(marked(late, history, pop), "slices").withColumn("slice", F.explode("slices")).drop("slices")
     acc = mean_metrics(impression_metrics(s, score, key=("slice", "impression_id")), "slice")
-    top = ranked(s, score, ("slice", "impression_id")).where(F.col("rank") <= k)
+    top = ranked(s, score, ("slice", "impression_id")).where(F.col("rank") <= k).select("slice", "impression_id", "article_id")
     return acc.join(novelty(top, pop, "slice"), "slice").join(coverage(top, articles, "slice"), "slice").join(intra_list_diversity(top, articles, "slice"), "slice")
 
 
@@ -131,39 +137,26 @@ def user_sums(per_impression: DataFrame) -> DataFrame:
     return per_impression.groupBy("user_id").agg(*aggs)
 
 
-def draw_weights(users: DataFrame, draws: int, seed: int = 42) -> DataFrame:
-    """(b, user_id, w): how often each of `draws` resamples of n users, with replacement, holds a user.
-
-    Draw j of resample b is the user numbered md5(b_j_seed) mod n, so that any engine draws alike."""
-    n = users.agg(F.count("*").alias("n"))
-    grid = n.where("n > 0").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    grid = grid.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(DRAWN).cast("long")))).repartition("b", "from")
-    picks = grid.withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + DRAWN - 1, F.col("n")))))
-    code = F.conv(F.substring(F.md5(F.concat_ws("_", "b", "j", F.lit(seed))), 1, 8), 16, 10).cast("long")
-    counts = picks.select("b", (code % F.col("n")).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
-    return counts.join(numbered(users, "user_id"), "i").select("b", "user_id", "w")
-
-
-def _replicas(sums: DataFrame, weights: DataFrame) -> DataFrame:
-    """(b, metric...): each resample's metric is the weighted mean of its users' impressions."""
-    j = weights.join(sums, "user_id")
-    return j.groupBy("b").agg(*[(F.sum(F.col("w") * F.col(f"s_{m}")) / F.nullif(F.sum(F.col("w") * F.col(f"c_{m}")), F.lit(0))).alias(m) for m in METRICS])
-
-
 def _interval(replicas: DataFrame) -> DataFrame:
     long = replicas.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])).alias("r")).select("r.*")
     return long.groupBy("metric").agg(F.percentile("x", 0.025).alias("ci_lo"), F.percentile("x", 0.975).alias("ci_hi"))
 
 
+def _quotients(sums: DataFrame, tail: str = "") -> list[Column]:
+    """A resample's metric is the weighted mean of its users' impressions."""
+    return [(F.col(f"s_{m}{tail}") / F.nullif(F.col(f"c_{m}{tail}"), F.lit(0.0))).alias(m) for m in METRICS]
+
+
 def bootstrap_ci(per_impression: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
     sums = user_sums(per_impression)
-    return _interval(_replicas(sums, draw_weights(sums.select("user_id"), draws, seed)))
+    drawn = weighted_sums(sums, [c for c in sums.columns if c != "user_id"], draws, seed)
+    return _interval(drawn.select("b", *_quotients(drawn)))
 
 
 def paired_bootstrap_ci(baseline: DataFrame, improved: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Interval of improved - baseline over the users of both, the same draws on either side."""
     a, b = user_sums(baseline), user_sums(improved)
-    w = draw_weights(a.select("user_id").intersect(b.select("user_id")), draws, seed)
-    ra, rb = _replicas(a, w), _replicas(b, w).withColumnsRenamed({m: f"{m}2" for m in METRICS})
-    delta = ra.join(rb, "b").select("b", *[(F.col(f"{m}2") - F.col(m)).alias(m) for m in METRICS])
+    both = a.join(b.withColumnsRenamed({c: f"{c}2" for c in b.columns if c != "user_id"}), "user_id")
+    drawn = weighted_sums(both, [c for c in both.columns if c != "user_id"], draws, seed)
+    delta = drawn.select("b", *[(y - x).alias(m) for m, x, y in zip(METRICS, _quotients(drawn), _quotients(drawn, "2"))])
     return _interval(delta).withColumn("excludes_0", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))

@@ -41,26 +41,50 @@ def earliest_click(df: DataFrame, keys=("user_id", "dataset", "article_id")) ->
     return df.groupBy(*keys).agg(F.min("click_time").alias("click_time"))
 
 
+def first_half(distinct: DataFrame, time: str = "impression_time", key: str = "impression_id") -> tuple | None:
+    """(first time, last time, last key) of the first half of distinct rows by (time, key), timestamps without zone; all rows before
+    the last time belong to it, and those at it up to the last key, none of them if that is null. None without rows.
+
+    Rows are counted by day, those of the day where the half falls by second, and only those of the second where it falls
+    are numbered. So no task sorts them all, and what comes to the driver is a row for each day, or second of a day."""
+    at = F.col(time).cast("timestamp_ntz")
+    day, second = F.date_trunc("DAY", at).cast("timestamp_ntz"), F.date_trunc("SECOND", at).cast("timestamp_ntz")
+
+    def edge_of(unit: Column, rows: DataFrame, room: int | None):
+        """The unit in which the place `room` (half of all, if None) falls, and what is left of it; the least time too."""
+        n = sorted(tuple(r) for r in rows.groupBy(unit.alias("u")).agg(F.count("*").alias("n"), F.min(at).alias("t")).where("u IS NOT NULL").collect())
+        room = sum(x[1] for x in n) // 2 if room is None else room
+        for u, size, _ in n:
+            if room < size:
+                return u, room, n[0][2]
+            room -= size
+
+    days = edge_of(day, distinct, None)
+    if days is None:
+        return None
+    inside = distinct.where(day == ntz(days[0]))
+    edge, left, _ = edge_of(second, inside, days[1])
+    if not left:
+        return days[2], edge, None
+    last = inside.where(second == ntz(edge)).withColumn("__n", F.row_number().over(Window.partitionBy(second).orderBy(time, key)))
+    r = last.where(F.col("__n") == left).select(at.alias("t"), key).first()
+    return days[2], r[0], r[1]
+
+
+def ntz(time) -> Column:
+    """A literal timestamp without zone; null stays."""
+    return F.lit(None if time is None else str(time)).cast("timestamp_ntz")
+
+
+def half_of(half: tuple | None, time: str = "impression_time", key: str = "impression_id") -> Column:
+    """val for the first_half(), test for the rest."""
+    if half is None:
+        return F.lit("test")
+    at = F.col(time).cast("timestamp_ntz")
+    own = (F.col(key) <= half[2]) if half[2] is not None else F.lit(False)
+    return F.when((at < ntz(half[1])) | ((at == ntz(half[1])) & own), "val").otherwise("test")
+
+
 def chronological_halves(rows: DataFrame, time: str = "impression_time", key: str = "impression_id") -> DataFrame:
-    """rows with split: the first half of the distinct impressions by (time, key) val, the rest test.
-
-    Impressions are counted by day, those of the day where the half falls by second, and only those of the second where it
-    falls are numbered. So no task sorts them all."""
-    distinct = rows.select(key, time).distinct()
-    day, second = F.date_trunc("DAY", time).cast("timestamp_ntz"), F.date_trunc("SECOND", time).cast("timestamp_ntz")
-
-    def edge_of(units: DataFrame, room) -> DataFrame:
-        """The unit(at, n) in which the place `room` falls, and what is left of it."""
-        run = units.withColumn("before", F.sum("n").over(Window.orderBy("at")) - F.col("n")).withColumn("room", room)
-        return run.where((F.col("before") <= F.col("room")) & (F.col("room") < F.col("before") + F.col("n"))).select("at", (F.col("room") - F.col("before")).alias("room"))
-
-    days = distinct.groupBy(day.alias("at")).agg(F.count("*").alias("n"))
-    edge = edge_of(days, F.floor(F.sum("n").over(Window.partitionBy()) / 2)).toDF("__day", "__room")
-    inside = distinct.join(F.broadcast(edge), day == F.col("__day"))
-    seconds = inside.groupBy(second.alias("at"), F.col("__room")).agg(F.count("*").alias("n"))  # 86,400 rows at most
-    edge = edge_of(seconds, F.col("__room")).toDF("__edge", "__left")
-    last = distinct.join(F.broadcast(edge), second == F.col("__edge"))
-    first = last.withColumn("__n", F.row_number().over(Window.partitionBy("__edge").orderBy(time, key))).where("__n <= __left").select(key, F.lit(True).alias("__val"))
-    marked = rows.join(first, key, "left").join(F.broadcast(edge.select("__edge")))  # edge is one row
-    val = (second < F.col("__edge")) | ((second == F.col("__edge")) & F.coalesce("__val", F.lit(False)))
-    return marked.withColumn("split", F.when(val, "val").otherwise("test")).drop("__val", "__edge")
+    """rows with split: the first half of the distinct impressions by (time, key) val, the rest test."""
+    return rows.withColumn("split", half_of(first_half(rows.select(key, time).distinct(), time, key), time, key))

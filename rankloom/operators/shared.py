@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of the tables read, as files have them, for each partition.
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 #: Spark takes 2^63 bytes for rows whose size it can't tell.
 UNKNOWN = 1 << 60
 
