@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import dealt
+
 
 def seeded_sample(impressions: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """All candidates of n impressions, drawn without replacement."""
@@ -27,17 +29,19 @@ def negative_samples(impressions: DataFrame, k: int, seed: int = 42, articles: D
     """For each clicked candidate, k unclicked ones of its impression; those are repeated in turn where there are fewer, and
     where there are none k articles of the catalogue are drawn, with replacement.
 
-    The impression's negatives are ordered once per positive by a seeded hash."""
-    pos = impressions.where("label = 1").select("impression_id", F.col("article_id").alias("pos_id"))
-    neg = impressions.where("label = 0").select("impression_id", F.col("article_id").alias("neg_id"))
-    own = Window.partitionBy("impression_id", "pos_id")
-    order = F.md5(F.concat_ws("_", "impression_id", "pos_id", "neg_id", F.lit(seed)))
-    r = pos.join(neg, "impression_id").withColumn("rn", F.row_number().over(own.orderBy(order, "neg_id"))).withColumn("n", F.count("*").over(own))
-    slots = F.filter(F.sequence(F.col("rn"), F.lit(k) + F.col("rn") - 1, F.col("n").cast("int")), lambda s: s <= k)
-    own = r.where(F.col("rn") <= k).select("impression_id", "pos_id", F.explode(slots).alias("slot"), "neg_id")
+    The impression's negatives are ordered once per positive by a seeded hash. Candidates are dealt by impression once, and the
+    pairs of an impression are never rows."""
+    c = dealt(impressions.select("impression_id", "article_id", "label"), "impression_id")
+    side = lambda label: F.collect_list(F.when(F.col("label") == label, F.struct("article_id")))
+    lists = c.groupBy("impression_id").agg(side(1).alias("pos"), side(0).alias("neg")).where(F.size("pos") > 0)
+    pos = lists.select("impression_id", F.explode("pos.article_id").alias("pos_id"), "neg")
+    order = F.array_sort(F.transform("neg", lambda n: F.struct(F.md5(F.concat_ws("_", "impression_id", "pos_id", n["article_id"], F.lit(seed))).alias("h"), n["article_id"].alias("id"))))
+    first = pos.where(F.size("neg") > 0).select("impression_id", "pos_id", F.slice(order, 1, k).alias("n"))
+    own = first.select("impression_id", "pos_id", "n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"))
+    own = own.select("impression_id", "pos_id", "slot", F.get("n", (F.col("slot") - 1) % F.size("n"))["id"].alias("neg_id"))
     if articles is None:
         return own
-    alone = pos.join(neg.select("impression_id").distinct(), "impression_id", "left_anti")
+    alone = pos.where(F.size("neg") == 0).select("impression_id", "pos_id")
     catalogue = numbered(articles.select("article_id").distinct(), "article_id")
     size = catalogue.agg(F.count("*").alias("size"))
     slots = alone.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(F.broadcast(size)).where("size > 0")
